@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, let, text_of, two_hashes
+from .common import SPACE_CHARS, ascii_lower, let, materialize, text_of, two_hashes
 
 
 def line_key(line: Column) -> Column:
@@ -39,6 +39,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     hashes = [h.alias(n) for h, n in zip(two_hashes(F.col("key")), ("h1", "h2"), strict=True)]
     counted = base.select("id", F.explode(keys(F.col("body"))).alias("key")).select("id", *hashes)
     common = counted.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    common = materialize(common, "common")  # so that the join below meets a plain table, and a hot key on its other side can be split
 
     lines = base.select("id", mark, F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).where(F.length(F.btrim("line", F.lit(SPACE_CHARS))) >= min_chars)
     hits = lines.select("id", "mark", "pos", line_key(F.col("line")).alias("key")).select("id", "mark", "pos", *hashes)
