@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,7 +40,10 @@ DEPTH = 3  # splits at most; what is large then is compared in blocks
 SPLIT_SAMPLES = 2.5  # tokens that a node samples when a bucket is split again
 DENSE = 0.2  # chance that two members agree in two tokens, from which a bucket is dense
 SLACK = 0.2  # 4 standard deviations of the similarity estimated from T tokens
-BLOCK = 400_000  # shingles of one side of a block pair
+#: A node's large dense buckets of the first split that are compared, in one order for all nodes. Two nodes at the
+#: threshold agree in each with that chance, so they miss each other in all with 0.2 ** 8, far below 1 - recall.
+DENSE_RUNS = 8
+BLOCK = 600_000  # shingles of one side of a block pair
 
 _U = np.uint64
 _rng = np.random.default_rng(20)
@@ -208,6 +212,9 @@ def _links(threshold: float) -> Callable:
             return i
 
         early = [x[: np.searchsorted(x, order)] for x in leaves]
+        before, where = np.unique(np.concatenate(early), return_inverse=True)
+        met = np.zeros((len(g), len(before)), dtype=bool)  # node x earlier bucket
+        met[np.repeat(np.arange(len(g)), [len(x) for x in early]), where] = True
         for a in np.flatnonzero(sides == 0):
             lo = np.searchsorted(sorted_sizes, math.ceil(threshold * size[a] - 1e-9))
             hi = np.searchsorted(sorted_sizes, math.floor(size[a] / threshold + 1e-9), side="right")
@@ -220,7 +227,7 @@ def _links(threshold: float) -> Callable:
             alike = others[lo:hi][both >= threshold * (size[a] + sorted_sizes[lo:hi] - both) - 1e-9]
             alike = alike[alike > a] if within else alike
             if len(early[a]) and len(alike):
-                alike = np.array([b for b in alike if not len(early[b]) or not np.intersect1d(early[a], early[b], assume_unique=True).size], dtype=np.int64)
+                alike = alike[~met[np.ix_(alike, np.flatnonzero(met[a]))].any(axis=1)]
             if len(alike):
                 count[a] += len(alike)
                 count[alike] += 1
@@ -247,7 +254,7 @@ def _leaves(nodes: DataFrame, runs: int, threshold: float) -> DataFrame:
         sizes = materialize(sizes, "sizes")
         # Buckets with the same members give the same pairs: one of them will do.
         small = sizes.where(F.col("size") <= SMALL).groupBy("size", "x1", "x2").agg(F.min("path").alias("path")).select("path")
-        found.append(front.join(small, "path").select((F.col("path").bitwiseAND((1 << 62) - 1)).alias("leaf"), "node", F.lit(False).alias("big")))
+        found.append(front.join(small, "path").select((F.col("path").bitwiseAND((1 << 62) - 1)).alias("leaf"), "node", F.lit(False).alias("big"), F.lit(depth).alias("depth")))
         large = sizes.where(F.col("size") > SMALL).groupBy("size", "x1", "x2").agg(F.min("path").alias("path")).select("path", "size")
         large = materialize(large, "large")
         if large.isEmpty():
@@ -259,39 +266,54 @@ def _leaves(nodes: DataFrame, runs: int, threshold: float) -> DataFrame:
             rows = rows.join(dense, "path")
         else:
             rows = rows.withColumn("dense", F.lit(True))
-        found.append(rows.where("dense").select((F.col("path").bitwiseAND((1 << 62) - 1) - (1 << 62)).alias("leaf"), "node", F.lit(True).alias("big")))
+        found.append(rows.where("dense").select((F.col("path").bitwiseAND((1 << 62) - 1) - (1 << 62)).alias("leaf"), "node", F.lit(True).alias("big"), F.lit(depth).alias("depth")))
         if depth == DEPTH:
             break
         front = materialize(rows.where("not dense").select("path", "used", "node", "sig").mapInPandas(_expand(SPLIT_SAMPLES / T), "path long, used long, node binary"), "paths")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return materialize(out.dropDuplicates(["leaf", "node"]), "leaves")
+    out = out.dropDuplicates(["leaf", "node"])
+    place = F.row_number().over(W.partitionBy("node", "big", "depth").orderBy("leaf"))
+    kept = out.withColumn("place", place).where((F.col("place") <= DENSE_RUNS) | ~F.col("big") | (F.col("depth") > 1))
+    return materialize(kept.select("leaf", "node", "big"), "leaves")
+
+
+def _earlier_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(leaf, other): the earlier large buckets that members of ``leaf`` are in, once a batch."""
+    for b in batches:
+        seen = {(leaf, o) for leaf, bigs in zip(b["leaf"], b["bigs"], strict=True) for o in bigs if o < leaf}
+        yield pd.DataFrame(sorted(seen), columns=["leaf", "other"], dtype="int64")
 
 
 def _dealt(big: DataFrame, info: DataFrame) -> DataFrame:
     """leaf, e, kind, i, j, side, node: the block pairs of large buckets.
 
-    ``first`` is a node's first large bucket. In bucket b a pair is due only
-    if it shares none before. With e the later of the two firsts, one node
-    has first = e and the other one an earlier first and, for e < b, not e.
+    Only pairs that share no earlier large bucket are due in one. Group 0 of
+    a bucket has the nodes whose first bucket it is (side 0), due with each
+    other and with all other members (side 1). Group 1 has those others that
+    can still be due with each other: two nodes without an earlier bucket in
+    common are together in at most all earlier buckets of the members. So a
+    node comes to a bucket twice at most, times the blocks of the other side.
     """
-    own = big.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("bigs")).select(F.col("node").alias("o_node"), "bigs", F.col("bigs")[0].alias("first"))
-    rows = materialize(big.join(own, F.col("node") == F.col("o_node")).join(info.select(F.col("node").alias("i_node"), "n"), F.col("node") == F.col("i_node")).select("leaf", "node", "first", "bigs", "n"), "bigrows")
-    firsts = rows.groupBy("leaf").agg(F.collect_set("first").alias("firsts"))
-    turns = F.filter("firsts", lambda e: (e > F.col("first")) & ((e == F.col("leaf")) | ~F.array_contains(F.col("bigs"), e)))
-    x = materialize(rows.join(firsts, "leaf").where(F.size(turns) > 0).select("leaf", F.explode(turns).alias("e"), F.lit(1).alias("side"), "node", "n"), "across")
-    due = x.select("leaf", "e").distinct()
-    y = rows.select("leaf", F.col("first").alias("e"), F.lit(0).alias("side"), "node", "n")
-    y = y.where("leaf = e").unionByName(y.where("leaf != e").join(due, ["leaf", "e"], "left_semi"))
-    both = y.unionByName(x)
+    own = big.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("bigs")).select(F.col("node").alias("o_node"), "bigs")
+    rows = big.join(own, F.col("node") == F.col("o_node")).join(info.select(F.col("node").alias("i_node"), "n"), F.col("node") == F.col("i_node"))
+    rows = materialize(rows.select("leaf", "node", "bigs", "n", (F.array_position("bigs", F.col("leaf")) - 1).alias("earlier")), "bigrows")
+    known = rows.select("leaf", "bigs").mapInPandas(_earlier_pairs, "leaf long, other long").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("known"))
+    least = rows.groupBy("leaf").agg(F.count_if(F.col("earlier") == 0).alias("begun"), F.min(F.when(F.col("earlier") > 0, F.col("earlier"))).alias("fewest"))
+    of = materialize(least.join(known, "leaf", "left"), "buckets")
+    r = rows.join(of, "leaf")
+    begun, late = F.col("begun") > 0, F.col("earlier") > 0
+    group = F.filter(F.array(F.when(begun, F.lit(0).cast("long")), F.when(late & (F.col("earlier") + F.col("fewest") <= F.col("known")), F.lit(1).cast("long"))), lambda g: g.isNotNull())
+    both = r.where(F.size(group) > 0).select("leaf", F.explode(group).alias("e"), "earlier", "node", "n")
+    both = materialize(both.select("leaf", "e", F.when((F.col("e") == 0) & (F.col("earlier") > 0), 1).otherwise(0).alias("side"), "node", "n"), "dealt")
     blocks = both.groupBy("leaf", "e").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)) / BLOCK)).cast("int").alias(f"k{s}") for s in (0, 1)], F.max("side").alias("crossed"))
     put = both.join(blocks, ["leaf", "e"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("k0")).otherwise(F.col("k1"))).cast("int"))
     upto = lambda k: F.sequence(F.lit(0), k - 1)
     at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     b = F.col("block")
-    # Within side 0: with itself, and as the lower or the upper one with every other block.
-    inner = F.when((F.col("side") == 0) & (F.col("leaf") == F.col("e")), F.transform(upto(F.col("k0")), lambda o: at(0, F.least(b, o), F.greatest(b, o), F.when(b > o, 1).otherwise(0))))
+    # Side 0 meets itself: each block with itself, and as the lower or the upper one with every other block.
+    inner = F.when(F.col("side") == 0, F.transform(upto(F.col("k0")), lambda o: at(0, F.least(b, o), F.greatest(b, o), F.when(b > o, 1).otherwise(0))))
     cross = F.when(F.col("crossed") == 1, F.when(F.col("side") == 0, F.transform(upto(F.col("k1")), lambda o: at(1, b, o, F.lit(0)))).otherwise(F.transform(upto(F.col("k0")), lambda o: at(1, o, b, F.lit(1)))))
     empty = F.array().cast("array<struct<kind: int, i: int, j: int, side: int>>")
     return put.select("leaf", "e", "node", F.explode(F.concat(F.coalesce(inner, empty), F.coalesce(cross, empty))).alias("t")).select("leaf", "e", "t.kind", "t.i", "t.j", "t.side", "node")
