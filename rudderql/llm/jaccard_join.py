@@ -40,8 +40,8 @@ DEPTH = 3  # splits at most; what is large then is compared in blocks
 SPLIT_SAMPLES = 2.5  # tokens that a node samples when a bucket is split again
 DENSE = 0.2  # chance that two members agree in two tokens, from which a bucket is dense
 SLACK = 0.2  # 4 standard deviations of the similarity estimated from T tokens
-#: A node's large dense buckets of the first split that are compared, in one order for all nodes. Two nodes at the
-#: threshold agree in each with that chance, so they miss each other in all with 0.2 ** 8, far below 1 - recall.
+#: A node's large dense buckets of the first split that are compared, in one order for all nodes. A simulated pair at
+#: the threshold, all of its buckets large and dense, loses every common one to this with chance 7e-6; 1 - recall is 1e-4.
 DENSE_RUNS = 8
 BLOCK = 600_000  # shingles of one side of a block pair
 
