@@ -25,6 +25,8 @@ from .common import materialize, n_words, text_of
 LENGTHS = (512, 1024, 2048, 4096)
 #: Cost of a bin of length c: c tokens of compute and a fixed overhead for each sequence.
 OVERHEAD = 32
+#: Shards are packed one after another in at most so many tasks.
+TASKS = 10_000
 
 
 def _dry_fill(room: int, waiting: np.ndarray) -> int:
@@ -108,7 +110,8 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 20
         return x[["doc_id", "copy", "part", "start", "n_words", "bin_id", "bin_offset", "bin_length", "bin_words"]]
 
     schema = "doc_id long, copy int, part int, start long, n_words long, bin_id string, bin_offset long, bin_length long, bin_words long"
-    return parts.groupBy("shard").applyInPandas(shard, schema)
+    # By number, or adaptive execution would merge these few bytes, and with them the packing, into one task.
+    return parts.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInPandas(shard, schema)
 
 
 def unpack_check(rows: Iterator[dict]) -> None:
