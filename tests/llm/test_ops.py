@@ -257,7 +257,7 @@ def test_licenses(spark, docs, odd, none):
     assert got[1].n_sentences == 0 and got[1].license is None and got[5].rules == ""
     wrong = [(1, "See the License for the specific language governing permissions and limitations under the License. You may not use this file except in compliance with the License.", "en", "s")]
     assert license_scan(documents(spark, wrong)).first().rules == ""  # sentences known, order wrong
-    names = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    names = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "All-Rights-Reserved"}
     lic = {r.doc_id: r.license for r in license_scan(docs).collect()}
     for r in docs.collect():
         found = {names[s] for s in names if s in r.text}
