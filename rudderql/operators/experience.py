@@ -50,9 +50,11 @@ def welford(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def merge_welford(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Combine (n, mean, m2) rows of the same keys exactly."""
-    total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
-    return total.select(*keys, "n", (F.col("s") / F.col("n")).alias("mean"), F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("m2"))
+    """Combine (n, mean, m2) rows of the same keys by their means' deviations, which lose no digits to cancellation."""
+    of = W.partitionBy(*keys)
+    common = F.sum(F.col("n") * F.col("mean")).over(of) / F.sum("n").over(of)
+    spread = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_common")) * (F.col("mean") - F.col("_common"))
+    return parts.withColumn("_common", common).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("_common").alias("mean"), F.sum(spread).alias("m2"))
 
 
 def _ranked(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
