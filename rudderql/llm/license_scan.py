@@ -1,40 +1,59 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (ASCII lower case,
-runs of other characters than a-z and 0-9 become one blank) and looked up in a
-table of known licence sentences; the sequence of identifiers is then matched
-against ordered rules. A rule names identifiers that must follow each other in
-this order, other known sentences between them allowed; the first rule that
-matches names the primary licence. Everything happens within the row.
+Texts are normalised (ASCII lower case, runs of other characters than a-z and
+0-9 become one mark) and searched for whole known licence sentences; the
+sequence of identifiers is then matched against ordered rules. A known sentence
+starts and ends at a sentence end, a line feed, a colon or a semicolon, and may
+run on over line feeds, colons and semicolons, so notices are found wrapped or
+not. Comment and list marks at the start of a line do not count. A rule names
+identifiers that must follow each other in this order, other known sentences
+between them allowed; the first rule that matches names the primary licence.
+Everything happens within the row.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, text_of
 
-#: Normalised sentence -> identifier.
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {}to deal in the software without restriction including without limitation {}the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_GPL = "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+_VERSIONS = ("either version {} of the license or at your option any later version", "either version {} or at your option any later version", "version {} of the license", "version {}")
+#: In a text without line feeds nothing ends the sentence after the address.
+_AS_IS = " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+_ENDORSE = "to endorse or promote products derived from this software without specific prior written permission"
+#: Normalised sentence -> identifier. A * stands for a name of up to NAME words.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-ref",
     "licensed under the apache license version 2 0 the license": "apache2-ref",
+    "* licenses this file to you under the apache license version 2 0 the license": "apache2-ref",
     "you may not use this file except in compliance with the license": "apache2-comply",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2-copy",
+    **{f"you may obtain a copy of the license at {x} www apache org licenses license 2 0{y}": "apache2-copy" for x in ("http", "https") for y in ("", _AS_IS)},
     "see the license for the specific language governing permissions and limitations under the license": "apache2-limits",
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit-grant",
+    **{_MIT.format(x, y): "mit-grant" for x in ("the software ", "") for y in ("", "on ")},
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 3": "gpl3-ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-grant",
+    **{_GPL + v.format(3): "gpl-grant" for v in _VERSIONS},
+    **{_GPL + v.format(2): "gpl2-grant" for v in _VERSIONS},
     "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
+    "you should have received a copy of the gnu general public license along with *": "gpl-copy",
     "licensed under cc by nc 4 0": "cc-by-nc-ref",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-ref",
     "licensed under cc by 4 0": "cc-by-ref",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-names",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    f"neither the name of * nor the names of * may be used {_ENDORSE}": "bsd-names",
+    f"neither the names of * nor the names of * may be used {_ENDORSE}": "bsd-names",
+    f"the name of * may not be used {_ENDORSE}": "bsd-names",
+    f"the names of * may not be used {_ENDORSE}": "bsd-names",
     "all rights reserved": "reserved",
 }
 #: (rule, licence, identifiers in order); the first match is the primary one.
@@ -42,6 +61,7 @@ RULES = (
     ("apache2-notice", "Apache-2.0", ("apache2-ref", "apache2-comply", "apache2-limits")),
     ("mit-text", "MIT", ("mit-grant", "mit-notice")),
     ("gpl-notice", "GPL-3.0", ("gpl-grant", "gpl-copy")),
+    ("gpl2-notice", "GPL-2.0", ("gpl2-grant", "gpl-copy")),
     ("bsd3-text", "BSD-3-Clause", ("bsd-grant", "bsd-names")),
     ("gpl3-sentence", "GPL-3.0", ("gpl3-ref",)),
     ("cc-by-nc-sentence", "CC-BY-NC-4.0", ("cc-by-nc-ref",)),
@@ -51,14 +71,44 @@ RULES = (
     ("bsd-sentence", "BSD", ("bsd-grant",)),
     ("reserved-sentence", "All-Rights-Reserved", ("reserved",)),
 )
-#: Every known sentence has one of these words, so a text without them has none.
-TRIGGERS = "licens|permission|redistribut|copyright|reserved"
-#: Sentences end at a line feed, or at ., ! or ? and white space.
-BREAKS = r"[.!?]+[\x20\x09-\x0D]+|\n"
+#: Words that a * in a sentence stands for at most.
+NAME = 12
+#: What may stand before the words of a line: comment marks, then a comment word or a list number.
+LINE_START = r"\n[^a-z0-9\n]*(?:(?:rem|dnl|c)[\x20\x09]+|[0-9a-z]{1,2}\)[\x20\x09]+)?"
+#: Sentences end at ., ! or ? and white space.
+BREAKS = r"[.!?]+[\x20\x09-\x0D]+"
+
+
+def normalised(text: Column) -> Column:
+    """Words with one mark between two: H where a sentence ends, S at a line feed, colon or semicolon, else a blank."""
+    out = F.regexp_replace(F.concat(F.lit("\n"), F.translate(text, UPPER, LOWER)), LINE_START, "\n")
+    for pattern, mark in ((BREAKS, "H"), ("[\n;:]", "S"), ("[^a-z0-9HS]+", " "), ("[ S]*H[ HS]*", "H"), (" *S[ S]*", "S")):
+        out = F.regexp_replace(out, pattern, mark)
+    return F.btrim(out)
+
+
+def _pattern(sentence: str) -> str:
+    """Finds a sentence in a normalised text. A name in the middle may hold a full stop; at the ends it stays in its line."""
+    words, out = sentence.split(), ""
+    for i, word in enumerate(words):
+        last = i == len(words) - 1
+        if word != "*":
+            out += word + ("" if last else "[ S]")
+        elif i == 0:
+            out += f"(?:[a-z0-9]+ ){{0,{NAME}}}"
+        else:
+            out += f"[a-z0-9]+(?: [a-z0-9]+){{0,{NAME - 1}}}" if last else f"(?:[a-z0-9]+[ SH]){{1,{NAME}}}?"
+    return out
 
 
-def normalised(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def trigger(sentences: dict[str, str]) -> str:
+    """A pattern of words of which every sentence has one; of seven letters or more if it has such."""
+    left, found = [[w for w in s.split() if w != "*"] for s in sentences], []
+    while left:
+        usable = Counter(w for words in left for w in {x for x in words if len(x) >= min(7, max(map(len, words)))})
+        found.append(max(usable, key=lambda w: (usable[w], len(w), w)))
+        left = [words for words in left if not any(found[-1] in w for w in words)]
+    return "|".join(found)
 
 
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
@@ -70,8 +120,12 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     each get their row; other columns are ignored; empty table: empty result.
     """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    ids = F.filter(F.transform(F.split(text_of(), BREAKS, -1), lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
-    found = F.when(text_of().rlike(f"(?i){TRIGGERS}"), ids).otherwise(F.array().cast("array<string>"))
+    # At one place the longest sentence counts.
+    any_of = "|".join(_pattern(s) for s in sorted(sentences, key=len, reverse=True))
+    names = [(f"^(?:{_pattern(s)})$", i) for s, i in sentences.items() if "*" in s.split()]
+    id_of = lambda x: F.coalesce(F.try_element_at(known, F.translate(x, "S", " ")), *[F.when(x.rlike(p), i) for p, i in names])
+    ids = F.transform(F.regexp_extract_all(normalised(text_of()), F.lit(f"(?<![^HS])(?:{any_of})(?![^HS])"), F.lit(0)), id_of)
+    found = F.when(text_of().rlike(f"(?i){trigger(sentences)}"), ids).otherwise(F.array().cast("array<string>"))
     cols = docs.select("doc_id", found.alias("ids")).select("doc_id", "ids", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("chain"))
     hits = F.filter(F.array(*[F.when(F.col("chain").rlike(_in_order(parts)), F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("license"))) for rule, name, parts in rules]), lambda x: x.isNotNull())
     return cols.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.transform(hits, lambda x: x["rule"]), ",").alias("rules"), F.get(hits, F.lit(0))["license"].alias("license"))

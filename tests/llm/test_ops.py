@@ -264,6 +264,69 @@ def test_licenses(spark, docs, odd, none):
         assert (lic[r.doc_id] in found) if found else lic[r.doc_id] is None
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not, see", "program; if not, see")
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licenses_real_notices(spark):
+    """Real notices, wrapped, unwrapped and behind comment marks, and with other names in them."""
+    grant = BSD.split(":")[0] + ":"
+    want = {
+        MIT: ("mit-grant,mit-notice", "mit-text", "MIT"),
+        APACHE: ("apache2-ref,apache2-comply,apache2-copy,apache2-limits", "apache2-notice,apache2-sentence", "Apache-2.0"),
+        GPL: ("gpl-grant,gpl-copy", "gpl-notice", "GPL-3.0"),
+        GPL.replace("This program is", "GNU Foo is").replace("this program.", "GNU Foo."): ("gpl-grant,gpl-copy", "gpl-notice", "GPL-3.0"),
+        GPL2: ("gpl2-grant,gpl-copy", "gpl2-notice", "GPL-2.0"),
+        BSD: ("bsd-grant,bsd-names", "bsd3-text,bsd-sentence", "BSD-3-Clause"),
+        BSD.replace("the copyright holder", "Foo, Inc."): ("bsd-grant,bsd-names", "bsd3-text,bsd-sentence", "BSD-3-Clause"),
+        grant: ("bsd-grant", "bsd-sentence", "BSD"),
+        GPL.replace("General", "Lesser General"): ("", "", None),
+        MIT.replace("without limitation", "with limitation").replace("all\ncopies", "all\nother copies"): ("", "", None),
+    }
+    shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "Some title\n" + t + "\nand more", lambda t: "\r\n".join("# " + x for x in t.split("\n")), lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */", lambda t: "\n".join("dnl " + x for x in t.split("\n"))]
+    cases = [(shape(t), w) for t, w in want.items() for shape in shapes]
+    got = {r.doc_id: (r.sentence_ids, r.rules, r.license) for r in license_scan(documents(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(cases)])).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+    own = license_scan(documents(spark, [(1, "Do as\nyou like!", "en", "s")]), {"do as you like": "free"}, (("free-text", "Free", ("free",)),))
+    assert own.first().license == "Free"
+
+
 def _chat(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments string, turns int").repartition(3)
 
