@@ -9,7 +9,9 @@ samples a node a similar pair meets again in a child with constant chance.
 Small buckets are compared by brute force. So are large dense ones, whose
 members are nearly all alike and which splitting cannot reduce. Runs repeat
 (their samples are united) until the chance to miss a pair at the threshold
-is below 1 - ``recall``; links are verified on the exact sets.
+is below 1 - ``recall``; links are verified on the exact sets. In small buckets
+only pairs whose bitmaps rule the threshold out are left unverified: a bound,
+not an estimate, so no pair is lost there.
 
 Each pair is compared in one bucket only, the first that both are in. Buckets
 return link counts and a spanning forest, never pairs. A large bucket is dealt
@@ -39,7 +41,6 @@ SMALL = 100  # buckets of at most so many nodes are compared as they are
 DEPTH = 3  # splits at most; what is large then is compared in blocks
 SPLIT_SAMPLES = 2.5  # tokens that a node samples when a bucket is split again
 DENSE = 0.2  # chance that two members agree in two tokens, from which a bucket is dense
-SLACK = 0.2  # 4 standard deviations of the similarity estimated from T tokens
 #: A node's large dense buckets of the first split that are compared, in one order for all nodes. A simulated pair at
 #: the threshold, all of its buckets large and dense, loses every common one to this with chance 7e-6; 1 - recall is 1e-4.
 DENSE_RUNS = 8
@@ -81,27 +82,35 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for the low end of each hash, in words of 64; the bits are a power of two, two for each hash at least."""
+    bits = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()), dtype=bool)
+    bits[s & _U(len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     for x in batch.column(name).cast(pa.large_binary()):
         yield x.as_py() or b""
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, node (digest of the set, null if empty), n, sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
+    """doc_id, mark, node (digest of the set, null if empty), n, sig, bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, sig = [], [], []
+            node, n, sig, bits = [], [], [], []
             for text in _texts(b):
                 s = shingles(text)
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(min_hashes(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], schema=schema)
+                bits.append(bitmap(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(make, "doc_id long, mark long, node binary, n long, sig binary")
+    return rows.mapInArrow(make, "doc_id long, mark long, node binary, n long, sig binary, bits binary")
 
 
 def _matrix(sig: pd.Series) -> np.ndarray:
@@ -161,17 +170,39 @@ def _met_before(order: int, a: np.ndarray, b: np.ndarray) -> bool:
     return bool(len(a) and len(b) and np.intersect1d(a, b, assume_unique=True).size)
 
 
+def _possible(bits: list[np.ndarray], n: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (i < j) that may reach the threshold, and all that do.
+
+    A bit that one set has and the other has not stands for an element that
+    is not shared. The longer of two bitmaps is folded to the length of the
+    shorter, which holds for its set just as well.
+    """
+    width = np.array([len(x) for x in bits])
+    out = np.zeros((len(n), len(n)), dtype=bool)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        other = np.flatnonzero((width >= w) & (threshold * n <= n[own].max() + 1e-9))
+        folded = np.stack([np.bitwise_or.reduce(bits[i].reshape(-1, w), axis=0) for i in other])
+        ones = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        step = max(1, 4_000_000 // folded.size)
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            mine = np.searchsorted(other, some)
+            both = np.bitwise_count(folded[mine, None, :] & folded[None, :, :]).sum(axis=2, dtype=np.int64)
+            most = np.minimum(n[some, None] - ones[mine, None] + both, n[None, other] - ones[None, :] + both)
+            out[np.ix_(some, other)] = most >= threshold * (n[some, None] + n[None, other] - most) - 1e-9
+    return np.triu(out | out.T, 1)
+
+
 def _candidates(threshold: float) -> Callable:
-    """Of a small bucket the nodes with a likely partner that they first meet here."""
+    """Of a small bucket the nodes with a possible partner that they first meet here."""
     def handle(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:
             return None
-        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), T)
         n, leaves, order = g["n"].to_numpy(), g["leaves"].to_numpy(), int(g["leaf"].iloc[0])
-        likely = (sig[:, None, :] == sig[None, :, :]).mean(axis=2) >= threshold - SLACK
-        likely &= np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n)
+        possible = _possible([np.frombuffer(x, dtype=np.uint64) for x in g["bits"]], n, threshold)
         active = np.zeros(len(g), dtype=bool)
-        for i, j in zip(*np.nonzero(np.triu(likely, 1)), strict=True):
+        for i, j in zip(*np.nonzero(possible), strict=True):
             if not (active[i] and active[j]) and not _met_before(order, leaves[i], leaves[j]):
                 active[[i, j]] = True
         return g.loc[active, ["leaf", "node"]] if active.any() else None
@@ -322,13 +353,11 @@ def _dealt(big: DataFrame, info: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
     """(sets, found): sets has doc_id, mark, node of each row, found has node, n_links, near."""
     sets = materialize(_sets(docs), "sets")
-    nodes = materialize(sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialize(sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "nodes")
     leaves = _leaves(nodes, runs_needed(threshold, recall), threshold)
     lists = leaves.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    # The lowest byte of each token is enough to estimate; it is cut out once here.
-    low = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(T - 1)), lambda i: F.substring(F.hex("sig"), i * 8 + 1, F.lit(2))), ""))
-    info = materialize(nodes.join(lists, "node").select("node", "n", "rep", "leaves", low.alias("sig")), "info")
-    rows = leaves.where("not big").join(info.select("node", "n", "leaves", "sig"), "node")
+    info = materialize(nodes.join(lists, "node").select("node", "n", "rep", "leaves", "bits"), "info")
+    rows = leaves.where("not big").join(info.select("node", "n", "leaves", "bits"), "node")
     active = rows.repartition("leaf").sortWithinPartitions("leaf").mapInPandas(_candidates(threshold), "leaf long, node binary")
     zero = lambda name: F.lit(0).alias(name)
     active = active.select("leaf", F.lit(0).cast("long").alias("e"), zero("kind"), zero("i"), zero("j"), zero("side"), "node")

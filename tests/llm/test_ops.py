@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from rudderql.llm import jaccard_join as J
 from rudderql.llm import queries as Q
 from rudderql.llm.chat_format import CHAT, chat_format, escaped, read_back, unescaped
 from rudderql.llm.common import new_path, table
@@ -179,6 +180,38 @@ def test_jaccard_large_groups(spark):
     assert got == want and max(v[1] for v in want.values()) > 300
 
 
+def _edited(seed, n, at):
+    """A text of n random words, and the same with the words at some places changed."""
+    rng = random.Random(seed)
+    a = [str(rng.randrange(10**9)) for _ in range(n)]
+    b = dict(enumerate(a)) | {place: f"edit{i}" for i, place in enumerate(at)}
+    return " ".join(a), " ".join(b[i] for i in range(n))
+
+
+def test_jaccard_unlucky_min_hashes(spark):
+    """Pairs at exactly 0.8 of whose 64 min-hash tokens 38 or fewer agree."""
+    rows = []
+    for seed in (4231, 8464, 25992):
+        a, b = _edited(seed, 229, range(20, 220, 40))
+        agree = (J.min_hashes(J.shingles(a.encode())) == J.min_hashes(J.shingles(b.encode()))).mean()
+        assert agree < 0.6 and similarity(a, b) == 0.8
+        rows += [(10 * seed, a, "en", "s"), (10 * seed + 1, b, "en", "s")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(documents(spark, rows)).collect()}
+    assert got == {d: (d - d % 10, 1) for d, *_ in rows}
+
+
+def test_jaccard_bound_loses_no_pair():
+    """Sizes from one shingle on, to both sides of a doubled bitmap."""
+    rng, texts = random.Random(4), []
+    for seed in range(40):
+        n = rng.choice([1, 3, 5, 6, 9, 30, 33, 36, 68, 69, 130, 134, 140])
+        texts += _edited(seed % 7, n, rng.sample(range(n), rng.randrange(min(n, 4))))
+    sets = [J.shingles(t.encode()) for t in sorted(set(texts))]
+    may = J._possible([J.bitmap(s) for s in sets], J.np.array([len(s) for s in sets]), 0.8)
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if (both := len(set(sets[i]) & set(sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)}
+    assert alike and all(may[i, j] for i, j in alike) and may.sum() < len(sets) * (len(sets) - 1) / 4
+
+
 def test_jaccard_parts():
     assert similarity("a b c d e f", "a b c d e f") == 1 and similarity("a", None) == 0 and similarity("a b", "a b") == 1
     assert runs_needed(0.8, 0.9999) > runs_needed(0.8, 0.9) >= 1
