@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, n_words, text_of
@@ -27,6 +27,7 @@ LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 32
 #: Shards are packed one after another in at most so many tasks.
 TASKS = 10_000
+SEED = 23
 
 
 def _dry_fill(room: int, waiting: np.ndarray) -> int:
@@ -77,14 +78,19 @@ def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[
     return bins, offsets, [lengths[bisect_left(lengths, c - f)] for c, f in zip(cap, free, strict=True)]
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 20_000, seed: int = 23) -> DataFrame:
-    """doc_id, copy, part, start, n_words, bin_id, bin_offset, bin_length, bin_words: one row per part.
+def text_mark(seed: int = SEED) -> Column:
+    """What tells texts of one doc_id apart: ``mark`` of pack(), from the columns doc_id and text."""
+    return F.xxhash64(F.lit(seed), "doc_id", text_of())
+
+
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 20_000, seed: int = SEED) -> DataFrame:
+    """doc_id, mark, copy, part, start, n_words, bin_id, bin_offset, bin_length, bin_words: one row per part.
 
     A document's parts cover its words from 0 on, ``start`` being the first
     word's place; only its last part may be shorter than the largest length.
     Null, empty and blank texts have no words and thus no part. Rows that
-    repeat a doc_id are documents of their own (``copy`` tells rows of equal
-    doc_id and text apart). Ties are packed in order of hash, doc_id, copy and
+    repeat a doc_id are documents of their own: ``mark`` (text_mark of the row)
+    tells their texts apart, ``copy`` rows of equal doc_id and text. Ties are packed in order of hash, doc_id, copy and
     part. Empty table: empty result. Other columns are ignored.
     """
     from pyspark.sql import Window as W
@@ -92,7 +98,7 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 20
     top = max(lengths)
     if min(lengths) < 1:
         raise ValueError("lengths must be positive")
-    sizes = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", text_of()).alias("mark"), n_words(text_of()).alias("size")).where("size > 0")
+    sizes = docs.select("doc_id", text_mark(seed).alias("mark"), n_words(text_of()).alias("size")).where("size > 0")
     sizes = materialize(sizes, "lengths")
     shards = max(1, -(-sizes.count() // shard_rows) * 4)
     alike = W.partitionBy("mark", "doc_id").orderBy("size")
@@ -107,9 +113,9 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 20
         x["bin_offset"] = offsets
         x["bin_length"] = np.asarray(final, dtype=np.int64)[bins]
         x["bin_words"] = x.groupby("bin_id")["n_words"].transform("sum")
-        return x[["doc_id", "copy", "part", "start", "n_words", "bin_id", "bin_offset", "bin_length", "bin_words"]]
+        return x[["doc_id", "mark", "copy", "part", "start", "n_words", "bin_id", "bin_offset", "bin_length", "bin_words"]]
 
-    schema = "doc_id long, copy int, part int, start long, n_words long, bin_id string, bin_offset long, bin_length long, bin_words long"
+    schema = "doc_id long, mark long, copy int, part int, start long, n_words long, bin_id string, bin_offset long, bin_length long, bin_words long"
     # By number, or adaptive execution would merge these few bytes, and with them the packing, into one task.
     return parts.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInPandas(shard, schema)
 

@@ -16,7 +16,7 @@ from rudderql.llm.jaccard_join import jaccard_classes, runs_needed, similarity
 from rudderql.llm.license_scan import license_scan
 from rudderql.llm.line_dedup import line_dedup
 from rudderql.llm.mixing import mix_texts, plan_mix, sainte_lague
-from rudderql.llm.packing import LENGTHS, pack, pack_sizes, unpack_check
+from rudderql.llm.packing import LENGTHS, pack, pack_sizes, text_mark, unpack_check
 from rudderql.llm.quality_rules import binomial_tail, cutoffs, features, quality_rules
 from rudderql.llm.secret_scan import secret_scan
 from rudderql.llm.token_rollup import TokenRollup, deletes, inserts, revisions, token_counts
@@ -270,6 +270,17 @@ def test_packing(which, request):
     assert sum(r["n_words"] for r in rows) / sum({r["bin_id"]: r["bin_length"] for r in rows}.values()) > 0.85
 
 
+def test_packing_two_texts_of_one_doc_id(spark):
+    """Each part finds the words it stands for, also where one doc_id has two texts."""
+    texts = ["a b c", "d e f", "d e f", "g " * 5000]
+    df = documents(spark, [(1, t, "en", "s") for t in texts])
+    words = {r.mark: brute.words(r.text) for r in df.select(text_mark().alias("mark"), "text").collect()}
+    rows = pack(df).collect()
+    assert len({(r.mark, r.copy, r.part) for r in rows}) == len(rows) == 5
+    filled = sorted(words[r.mark][r.start : r.start + r.n_words] for r in rows)
+    assert filled == sorted([["a", "b", "c"], ["d", "e", "f"], ["d", "e", "f"], ["g"] * 4096, ["g"] * 904])
+
+
 def test_pack_sizes_best_fit():
     rng = random.Random(3)
     sizes = sorted((rng.randrange(1, 65) for _ in range(500)), reverse=True)
