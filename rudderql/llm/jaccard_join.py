@@ -1,22 +1,24 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts become sets of hashed five-word shingles; equal sets are one node. A set
-is embedded in ``T`` min-hash tokens, of which two sets share the fraction
-given by their Jaccard similarity. Starting from one bucket with all nodes, a
-bucket is split on sampled shared tokens: token (i, v) is sampled by a hash of
-the path, so every node that has it makes the same choice, and with T * rate
-samples a node a similar pair meets again in a child with constant chance.
-Small buckets are compared by brute force. So are large dense ones, whose
-members are nearly all alike and which splitting cannot reduce. Runs repeat
-(their samples are united) until the chance to miss a pair at the threshold
-is below 1 - ``recall``; links are verified on the exact sets. In small buckets
-only pairs whose bitmaps rule the threshold out are left unverified: a bound,
-not an estimate, so no pair is lost there.
-
-Each pair is compared in one bucket only, the first that both are in. Buckets
-return link counts and a spanning forest, never pairs. A large bucket is dealt
-out as pairs of blocks of bounded size, and nodes that met in an earlier large
-bucket are not dealt out again.
+is embedded in ``T`` min-hash tokens (coordinate, value), of which two sets
+share the fraction given by their Jaccard similarity. All nodes start in one
+bucket. A bucket is split on sampled coordinates: the sample is a hash of the
+path, so all members make the same choice, and each goes to the child of the
+token that it has there. The root is split once for every run, a later bucket
+on a few coordinates that its path has not used. Splitting goes on, without
+a limit of depth, until a bucket is small or dense. Small buckets are compared
+by brute force, and so are dense ones, whose members are nearly all alike and
+which splitting would only repeat. Runs repeat until the chance to miss a pair
+at the threshold is below 1 - ``recall``, at whatever depth its buckets end;
+links are verified on the exact sets. In small buckets only pairs whose bitmaps
+rule the threshold out are left unverified: a bound, not an estimate.
+
+Each pair is compared in one bucket only, the first that both are in. A group
+of near copies is dense in every run; dense buckets that share half of their
+members with one and the same larger bucket are united with it, so such a group
+is dealt out once, as pairs of blocks of bounded size. Buckets return link
+counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -38,13 +40,8 @@ from .components import connected_components
 N = 5
 T = 64
 SMALL = 100  # buckets of at most so many nodes are compared as they are
-DEPTH = 3  # splits at most; what is large then is compared in blocks
-SPLIT_SAMPLES = 2.5  # tokens that a node samples when a bucket is split again
 DENSE = 0.2  # chance that two members agree in two tokens, from which a bucket is dense
-#: A node's large dense buckets of the first split that are compared, in one order for all nodes. A simulated pair at
-#: the threshold, all of its buckets large and dense, loses every common one to this with chance 7e-6; 1 - recall is 1e-4.
-DENSE_RUNS = 8
-BLOCK = 600_000  # shingles of one side of a block pair
+BLOCK_SHINGLES, BLOCK_NODES = 600_000, 1_000  # one side of a block pair has so many, about
 
 _U = np.uint64
 _rng = np.random.default_rng(20)
@@ -117,31 +114,55 @@ def _matrix(sig: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(len(sig), T)
 
 
-def _expand(rate: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """(path, used, node, sig) -> (path, used, node) of the children that the node chooses."""
-    below = _U(min(int(rate * 2.0**64), 2**64 - 1))
+def _expand(samples: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(path, used, node, sig) -> (path, used, node, probe): the node in each of its buckets' sampled children.
+
+    ``used`` has a bit for every coordinate on the path; ``probe`` is the
+    node's tokens at two coordinates beyond, the same two for all of a bucket.
+    """
     coordinate = np.arange(T, dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            path, used, nodes = b["path"].to_numpy().astype(np.uint64), b["used"].to_numpy().astype(np.uint64), b["node"].to_numpy()
-            token = _mix(_matrix(b["sig"]).astype(np.uint64) + (coordinate << _U(32)) + _U(1))
-            child = np.where(path[:, None] == 0, token, _mix(path[:, None] ^ token))
-            free = (used[:, None] >> coordinate) & _U(1) == 0
-            row, i = np.nonzero(free & (_mix(child + _U(0x1234567)) < below))
-            yield pd.DataFrame({"path": child[row, i].astype(np.int64), "used": (used[row] | (_U(1) << i.astype(np.uint64))).astype(np.int64), "node": nodes[row]})
+            path, used, nodes, sig = b["path"].to_numpy().astype(np.uint64), b["used"].to_numpy().astype(np.uint64), b["node"].to_numpy(), _matrix(b["sig"]).astype(np.uint64)
+            rank = _mix(path[:, None] ^ _mix(coordinate + _U(0x1234567))) >> _U(1)
+            order = np.argsort(rank + ((used[:, None] >> coordinate & _U(1)) << _U(63)), axis=1)
+            value = lambda k: np.take_along_axis(sig, order[:, k, None], 1)[:, 0]  # noqa: B023, E731
+            probe = value(samples) << _U(32) | value(samples + 1)
+            for k in range(samples):
+                at = order[:, k].astype(np.uint64)
+                child = _mix(path ^ _mix(value(k) + (at << _U(32)) + _U(1)))
+                yield pd.DataFrame({"path": child.view(np.int64), "used": (used | _U(1) << at).view(np.int64), "node": nodes, "probe": probe.view(np.int64)})
 
     return run
 
 
-def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met in a bucket of every depth with chance ``recall``."""
-    p = 1.0
-    for d in range(depth, 0, -1):
-        p = 1 - math.exp(-p * (1 if d == 1 else SPLIT_SAMPLES * threshold))
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+def _onward(threshold: float, splits: int) -> float:
+    """Chance, at least, that a pair at the threshold in a bucket below the root comes to a compared one, at any depth.
+
+    It is the fixed point of q = 1 - (1 - threshold * q) ** splits; chances of
+    finite depth fall towards it from 1.
+    """
+    q = 1.0
+    for _ in range(1000):
+        q = 1 - (1 - threshold * q) ** splits
+    return q
+
+
+def splits_needed(threshold: float) -> int:
+    """Coordinates on which a bucket below the root is split: the fewest that lose at most a tenth, however deep."""
+    return next(s for s in range(1, T) if _onward(threshold, s) >= 0.9)
+
+
+def runs_needed(threshold: float, recall: float) -> int:
+    """Runs (splits of the root) after which a pair at the threshold has been in a compared bucket with chance ``recall``."""
+    one = threshold * _onward(threshold, splits_needed(threshold))  # it shares the token of the root's split, and goes on
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+    if runs > T - 2:
+        raise ValueError(f"{T} coordinates do not reach recall {recall} at {threshold}")
+    return runs
 
 
 def _grouped(key: list[str], handle: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable:
@@ -211,17 +232,17 @@ def _candidates(threshold: float) -> Callable:
 
 
 def _links(threshold: float) -> Callable:
-    """For a group: each node's verified links that first meet here, and a node that it hangs together with.
+    """For a pair of blocks: each node's verified links that first meet here, and a node that it hangs together with.
 
-    Groups with one side compare all pairs, groups with two sides 0 and 1
-    the pairs across. A node's shingles are marked once and summed over the
-    candidates, which are sorted by size, so lengths that cannot reach the
-    threshold are skipped.
+    A block paired with itself compares all its pairs, else those across. A
+    node's shingles are marked once and summed over the candidates, which are
+    sorted by size, so lengths that cannot reach the threshold are skipped, and
+    so are candidates that met the node in an earlier bucket.
     """
     def handle(g: pd.DataFrame) -> pd.DataFrame | None:
         sides, order = g["side"].to_numpy(), int(g["leaf"].iloc[0])
-        within = g["kind"].iloc[0] == 0 and g["i"].iloc[0] == g["j"].iloc[0]
-        if len(g) < 2 or not (sides == 0).any() or not (within or (sides == 1).any()):
+        within = g["i"].iloc[0] == g["j"].iloc[0]
+        if len(g) < 2 or not (within or 0 < (sides == 1).sum() < len(g)):
             return None
         sets = [np.frombuffer(x, dtype=np.uint64) for x in g["shingles"]]
         leaves, nodes = g["leaves"].to_numpy(), g["node"].to_numpy()
@@ -249,16 +270,20 @@ def _links(threshold: float) -> Callable:
         for a in np.flatnonzero(sides == 0):
             lo = np.searchsorted(sorted_sizes, math.ceil(threshold * size[a] - 1e-9))
             hi = np.searchsorted(sorted_sizes, math.floor(size[a] / threshold + 1e-9), side="right")
-            if hi <= lo:
+            due = others[lo:hi] > a if within else np.ones(max(0, hi - lo), dtype=bool)
+            if len(early[a]) and due.any():
+                due &= ~met[np.ix_(others[lo:hi], np.flatnonzero(met[a]))].any(axis=1)
+            if not due.any():
                 continue
+            which = lo + np.flatnonzero(due)
             mine = ids[at[a] : at[a + 1]]
             marked[mine] = 1
-            both = np.add.reduceat(marked[flat[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo])
+            if 2 * len(which) > hi - lo:
+                both = np.add.reduceat(marked[flat[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo])[which - lo]
+            else:
+                both = np.array([marked[flat[begin[k] : begin[k + 1]]].sum() for k in which])
             marked[mine] = 0
-            alike = others[lo:hi][both >= threshold * (size[a] + sorted_sizes[lo:hi] - both) - 1e-9]
-            alike = alike[alike > a] if within else alike
-            if len(early[a]) and len(alike):
-                alike = alike[~met[np.ix_(alike, np.flatnonzero(met[a]))].any(axis=1)]
+            alike = others[which][both >= threshold * (size[a] + sorted_sizes[which] - both) - 1e-9]
             if len(alike):
                 count[a] += len(alike)
                 count[alike] += 1
@@ -270,97 +295,79 @@ def _links(threshold: float) -> Callable:
             return None
         return pd.DataFrame({"node": nodes[hit], "n_links": count[hit], "near": nodes[[root(i) for i in hit]]})
 
-    return _grouped(["leaf", "e", "kind", "i", "j"], handle)
+    return _grouped(["leaf", "i", "j"], handle)
 
 
-def _leaves(nodes: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """leaf, node, big: the buckets that are compared; leaf orders large buckets before small ones."""
+def _buckets(nodes: DataFrame, runs: int, splits: int) -> tuple[DataFrame, DataFrame]:
+    """(small, dense): path, node, size of the small and the dense buckets with two members at least."""
     root = nodes.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("used"), "node", "sig")
-    # The union of ``runs`` samples at 1 / (threshold * T) each.
-    front = materialize(root.mapInPandas(_expand(1 - (1 - 1 / (threshold * T)) ** runs), "path long, used long, node binary"), "paths")
-    found: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
+    samples, found = runs, []
+    while True:
+        front = materialize(root.mapInPandas(_expand(samples), "path long, used long, node binary, probe long"), "paths")
         h1, h2 = F.xxhash64("node"), F.xxhash64(F.lit(7), "node")
-        sizes = front.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("size > 1")
-        sizes = materialize(sizes, "sizes")
-        # Buckets with the same members give the same pairs: one of them will do.
-        small = sizes.where(F.col("size") <= SMALL).groupBy("size", "x1", "x2").agg(F.min("path").alias("path")).select("path")
-        found.append(front.join(small, "path").select((F.col("path").bitwiseAND((1 << 62) - 1)).alias("leaf"), "node", F.lit(False).alias("big"), F.lit(depth).alias("depth")))
-        large = sizes.where(F.col("size") > SMALL).groupBy("size", "x1", "x2").agg(F.min("path").alias("path")).select("path", "size")
-        large = materialize(large, "large")
-        if large.isEmpty():
-            break
-        rows = materialize(front.join(large, "path").join(nodes.select("node", "sig"), "node"), "members")
-        if depth < DEPTH:
-            probe = rows.groupBy("path", "size", *[F.substring("sig", F.pmod(F.xxhash64(F.lit(k), "path"), F.lit(T)).cast("int") * 4 + 1, F.lit(4)).alias(f"p{k}") for k in (0, 1)]).agg(F.count(F.lit(1)).alias("c"))
-            dense = materialize(probe.groupBy("path", "size").agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.col("size") / F.col("size")).alias("agree")).select("path", (F.col("agree") >= DENSE).alias("dense")), "dense")
-            rows = rows.join(dense, "path")
-        else:
-            rows = rows.withColumn("dense", F.lit(True))
-        found.append(rows.where("dense").select((F.col("path").bitwiseAND((1 << 62) - 1) - (1 << 62)).alias("leaf"), "node", F.lit(True).alias("big"), F.lit(depth).alias("depth")))
-        if depth == DEPTH:
+        # By probe first, so that a bucket with a third of all nodes is combined before it is shuffled.
+        probed = front.groupBy("path", "probe").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"), F.first("used").alias("used"))
+        agree = F.sum(F.col("c").cast("double") * F.col("c")) / F.sum("c") / F.sum("c")
+        sizes = probed.groupBy("path").agg(F.sum("c").alias("size"), agree.alias("agree"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.first("used").alias("used")).where("size > 1")
+        spent = F.bit_count("used") > T - splits - 2
+        kind = F.when(F.col("size") <= SMALL, "small").when((F.col("agree") >= DENSE) | spent, "dense").otherwise("split")
+        # Of compared buckets with the same members one will do; of those that are split, each is a chance of its own.
+        once = sizes.withColumn("kind", kind).groupBy("kind", "size", "x1", "x2", F.when(F.col("kind") == "split", F.col("path")).alias("own")).agg(F.min("path").alias("path"))
+        members = materialize(front.join(once.select("path", "kind", "size"), "path").select("path", "used", "node", "kind", "size"), "members")
+        found.append(members)
+        split = members.where("kind = 'split'")
+        if split.isEmpty():
             break
-        front = materialize(rows.where("not dense").select("path", "used", "node", "sig").mapInPandas(_expand(SPLIT_SAMPLES / T), "path long, used long, node binary"), "paths")
-    out = found[0]
+        root, samples = split.select("path", "used", "node").join(nodes.select("node", "sig"), "node").select("path", "used", "node", "sig"), splits
+    every = found[0]
     for x in found[1:]:
-        out = out.unionByName(x)
-    out = out.dropDuplicates(["leaf", "node"])
-    place = F.row_number().over(W.partitionBy("node", "big", "depth").orderBy("leaf"))
-    kept = out.withColumn("place", place).where((F.col("place") <= DENSE_RUNS) | ~F.col("big") | (F.col("depth") > 1))
-    return materialize(kept.select("leaf", "node", "big"), "leaves")
+        every = every.unionByName(x)
+    of = lambda k: every.where(F.col("kind") == k).select("path", "node", "size")
+    return of("small"), of("dense")
 
 
-def _earlier_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(leaf, other): the earlier large buckets that members of ``leaf`` are in, once a batch."""
-    for b in batches:
-        seen = {(leaf, o) for leaf, bigs in zip(b["leaf"], b["bigs"], strict=True) for o in bigs if o < leaf}
-        yield pd.DataFrame(sorted(seen), columns=["leaf", "other"], dtype="int64")
+def _united(dense: DataFrame) -> DataFrame:
+    """path, node: dense buckets, each united with a larger one if that is the largest bucket of half of its members.
+
+    The larger one must itself not be united, so a union has no member that
+    lies further off than that, and every pair of a bucket is in its union.
+    """
+    rows = materialize(dense.withColumn("home", F.max(F.struct("size", "path")).over(W.partitionBy("node"))["path"]), "dense")
+    shares = rows.groupBy("path", "home").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    most = shares.groupBy("path").agg(F.max(F.struct("c", "home")).alias("most"), F.first("size").alias("size"))
+    point = materialize(most.select("path", F.when(2 * F.col("most.c") >= F.col("size"), F.col("most.home")).otherwise(F.col("path")).alias("to")), "unions")
+    tops = point.where("path = to").select(F.col("to").alias("top"))
+    into = point.join(tops, F.col("to") == F.col("top"), "left").select(F.col("path").alias("from"), F.coalesce("top", "path").alias("top"))
+    return rows.join(into, F.col("path") == F.col("from")).select(F.col("top").alias("path"), "node").distinct()
+
+
+def _leaves(nodes: DataFrame, runs: int, splits: int) -> DataFrame:
+    """leaf, node, big: the buckets that are compared; leaf orders dense buckets (big) before small ones."""
+    small, dense = _buckets(nodes, runs, splits)
+    low = F.col("path").bitwiseAND((1 << 62) - 1)
+    big = _united(dense).select((low - (1 << 62)).alias("leaf"), "node", F.lit(True).alias("big"))
+    return materialize(big.unionByName(small.select(low.alias("leaf"), "node", F.lit(False).alias("big")).distinct()), "leaves")
 
 
 def _dealt(big: DataFrame, info: DataFrame) -> DataFrame:
-    """leaf, e, kind, i, j, side, node: the block pairs of large buckets.
-
-    Only pairs that share no earlier large bucket are due in one. Group 0 of
-    a bucket has the nodes whose first bucket it is (side 0), due with each
-    other and with all other members (side 1). Group 1 has those others that
-    can still be due with each other: two nodes without an earlier bucket in
-    common are together in at most all earlier buckets of the members. So a
-    node comes to a bucket twice at most, times the blocks of the other side.
-    """
-    own = big.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("bigs")).select(F.col("node").alias("o_node"), "bigs")
-    rows = big.join(own, F.col("node") == F.col("o_node")).join(info.select(F.col("node").alias("i_node"), "n"), F.col("node") == F.col("i_node"))
-    rows = materialize(rows.select("leaf", "node", "bigs", "n", (F.array_position("bigs", F.col("leaf")) - 1).alias("earlier")), "bigrows")
-    known = rows.select("leaf", "bigs").mapInPandas(_earlier_pairs, "leaf long, other long").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("known"))
-    least = rows.groupBy("leaf").agg(F.count_if(F.col("earlier") == 0).alias("begun"), F.min(F.when(F.col("earlier") > 0, F.col("earlier"))).alias("fewest"))
-    of = materialize(least.join(known, "leaf", "left"), "buckets")
-    r = rows.join(of, "leaf")
-    begun, late = F.col("begun") > 0, F.col("earlier") > 0
-    group = F.filter(F.array(F.when(begun, F.lit(0).cast("long")), F.when(late & (F.col("earlier") + F.col("fewest") <= F.col("known")), F.lit(1).cast("long"))), lambda g: g.isNotNull())
-    both = r.where(F.size(group) > 0).select("leaf", F.explode(group).alias("e"), "earlier", "node", "n")
-    both = materialize(both.select("leaf", "e", F.when((F.col("e") == 0) & (F.col("earlier") > 0), 1).otherwise(0).alias("side"), "node", "n"), "dealt")
-    blocks = both.groupBy("leaf", "e").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)) / BLOCK)).cast("int").alias(f"k{s}") for s in (0, 1)], F.max("side").alias("crossed"))
-    put = both.join(blocks, ["leaf", "e"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("k0")).otherwise(F.col("k1"))).cast("int"))
-    upto = lambda k: F.sequence(F.lit(0), k - 1)
-    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-    b = F.col("block")
-    # Side 0 meets itself: each block with itself, and as the lower or the upper one with every other block.
-    inner = F.when(F.col("side") == 0, F.transform(upto(F.col("k0")), lambda o: at(0, F.least(b, o), F.greatest(b, o), F.when(b > o, 1).otherwise(0))))
-    cross = F.when(F.col("crossed") == 1, F.when(F.col("side") == 0, F.transform(upto(F.col("k1")), lambda o: at(1, b, o, F.lit(0)))).otherwise(F.transform(upto(F.col("k0")), lambda o: at(1, o, b, F.lit(1)))))
-    empty = F.array().cast("array<struct<kind: int, i: int, j: int, side: int>>")
-    return put.select("leaf", "e", "node", F.explode(F.concat(F.coalesce(inner, empty), F.coalesce(cross, empty))).alias("t")).select("leaf", "e", "t.kind", "t.i", "t.j", "t.side", "node")
+    """leaf, i, j, side, node: the pairs of blocks (i <= j) of dense buckets; side 1 is block j of two."""
+    rows = materialize(big.join(info.select(F.col("node").alias("i_node"), "n"), F.col("node") == F.col("i_node")).select("leaf", "node", "n"), "dealt")
+    parts = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).cast("int")
+    put = rows.join(rows.groupBy("leaf").agg(parts.alias("k")), "leaf").withColumn("block", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    put = put.select("leaf", "node", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    return put.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node")
 
 
 def jaccard_links(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
     """(sets, found): sets has doc_id, mark, node of each row, found has node, n_links, near."""
     sets = materialize(_sets(docs), "sets")
     nodes = materialize(sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "nodes")
-    leaves = _leaves(nodes, runs_needed(threshold, recall), threshold)
+    leaves = _leaves(nodes, runs_needed(threshold, recall), splits_needed(threshold))
     lists = leaves.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     info = materialize(nodes.join(lists, "node").select("node", "n", "rep", "leaves", "bits"), "info")
     rows = leaves.where("not big").join(info.select("node", "n", "leaves", "bits"), "node")
     active = rows.repartition("leaf").sortWithinPartitions("leaf").mapInPandas(_candidates(threshold), "leaf long, node binary")
-    zero = lambda name: F.lit(0).alias(name)
-    active = active.select("leaf", F.lit(0).cast("long").alias("e"), zero("kind"), zero("i"), zero("j"), zero("side"), "node")
+    active = active.select("leaf", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "node")
     due = materialize(active.unionByName(_dealt(leaves.where("big").select("leaf", "node"), info)), "due")
     wanted = info.select(F.col("node").alias("w_node"), "rep", "leaves").join(due.select(F.col("node").alias("w_node")).distinct(), "w_node", "left_semi")
 
@@ -371,7 +378,7 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     text = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.xxhash64("text").alias("t_mark"), "text")
     full = text.join(wanted, F.col("t_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("t_mark") == F.col("rep.mark"))).select("w_node", "leaves", "text").dropDuplicates(["w_node"])
     full = full.mapInArrow(exact, "w_node binary, leaves array<long>, shingles binary")
-    key = ["leaf", "e", "kind", "i", "j"]
+    key = ["leaf", "i", "j"]
     groups = due.join(full, F.col("node") == F.col("w_node")).select(*key, "side", "node", "leaves", "shingles")
     found = groups.repartition(*key).sortWithinPartitions(*key).mapInPandas(_links(threshold), "node binary, n_links long, near binary")
     return sets.select("doc_id", "mark", "node"), materialize(found, "found")
