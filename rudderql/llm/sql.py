@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .license_scan import RULES as LICENSE_RULES
-from .license_scan import SENTENCES, _in_order
 from .quality_rules import RULES
 from .token_rollup import TOKENIZERS
 
@@ -65,14 +63,20 @@ with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''
 k as (select doc_id, n, first_value(doc_id) over (partition by n order by length(t) desc, doc_id) keep_id, count(*) over (partition by n) group_size from d)
 select doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(n) text_sha256 from k"""
 
-CHAINS = " ".join(f"when regexp_matches(chain, '{_in_order(parts)}') then '{name}'" for _, name, parts in LICENSE_RULES)
-MATCHED = ", ".join(f"case when regexp_matches(chain, '{_in_order(parts)}') then '{rule}' end" for rule, _, parts in LICENSE_RULES)
+#: The licence sentences of the tables, spelled out here: sentence, identifier, rule, licence, place of the rule.
+NOTICES = [
+    ("this work is licensed under the gnu general public license version 3", "gpl3-ref", "gpl3-sentence", "GPL-3.0", 1),
+    ("licensed under cc by nc 4 0", "cc-by-nc-ref", "cc-by-nc-sentence", "CC-BY-NC-4.0", 2),
+    ("licensed under the apache license version 2 0", "apache2-ref", "apache2-sentence", "Apache-2.0", 3),
+    ("released under the mit license", "mit-ref", "mit-sentence", "MIT", 4),
+    ("all rights reserved", "reserved", "reserved-sentence", "All-Rights-Reserved", 5),
+]
 OP8 = f"""
 with s as (select doc_id, unnest(parts) part, generate_subscripts(parts, 1) pos from (select doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+{WS}|\\n') parts from documents)),
-k as (select doc_id, pos, id from s join {_values(list(SENTENCES.items()))} v(sentence, id) on trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) = sentence),
-g as (select d.doc_id, count(id) n_sentences, coalesce(string_agg(id, ',' order by pos), '') sentence_ids from documents d left join k on k.doc_id = d.doc_id group by d.doc_id),
-c as (select *, ',' || sentence_ids || ',' chain from g)
-select doc_id, n_sentences, sentence_ids, concat_ws(',', {MATCHED}) rules, case {CHAINS} end license from c"""
+k as (select doc_id, pos, v.* from s join {_values(NOTICES)} v(sentence, id, rule, license, place) on trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = sentence)
+select d.doc_id, count(id) n_sentences, coalesce(string_agg(id, ',' order by pos), '') sentence_ids,
+  coalesce(array_to_string(list_transform(list_sort(list_distinct(list((place, rule)) filter (where id is not null))), lambda x: x[2]), ','), '') rules, arg_min(license, place) license
+from documents d left join k on k.doc_id = d.doc_id group by d.doc_id"""
 
 OP9 = f"""
 with l as (select doc_id, unnest(lines) line, generate_subscripts(lines, 1) pos from (select doc_id, string_split(coalesce(text, ''), chr(10)) lines from documents)),
