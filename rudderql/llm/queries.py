@@ -28,14 +28,17 @@ def _sha(s: Column) -> Column:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all documents, revise the counts of texts cleaned of table bars, purge texts under ten words; batches are sent again."""
     docs = table(spark, sf_dir, "documents")
-    versions = F.posexplode(F.array(text_of(), F.translate(text_of(), "|", " "))).alias("version", "text")
-    rows = docs.select(F.col("doc_id").alias("id"), "source", "lang", versions).withColumn("doc_id", F.struct("id", "version"))
+    version = lambda n, text, last: F.struct(F.lit(n).alias("version"), text.alias("text"), last.alias("last"))
+    barred, cleaned = F.contains(text_of(), F.lit("|")), F.translate(text_of(), "|", " ")
+    versions = F.explode(F.when(barred, F.array(version(0, text_of(), F.lit(False)), version(1, cleaned, F.lit(True)))).otherwise(F.array(version(0, text_of(), F.lit(True))))).alias("v")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "source", "lang", versions)
+    rows = rows.select(F.struct("id", "mark", "v.version", "v.last").alias("doc_id"), "source", "lang", "v.text")
     counted = materialize(token_counts(rows).select("doc_id.*", "source", "lang", "tokenizer", "n_tokens"), "counts")
     store = TokenRollup(spark, new_path(spark, "rollup"))
     # Both versions of a count are signed rows, so a revision needs no join.
-    signed = counted.withColumns({"was": F.when(F.col("version") == 0, F.col("n_tokens")).otherwise(0), "now": F.when(F.col("version") == 1, F.col("n_tokens")).otherwise(0)})
-    short = counted.where("version = 0 and tokenizer = 'words-1' and n_tokens < 10").select(F.col("id").alias("short_id")).distinct()
-    purged = counted.where("version = 1").join(short, F.col("id").eqNullSafe(F.col("short_id")), "left_semi")
+    signed = counted.where("version = 1 or not last").withColumns({"was": F.when(F.col("version") == 0, F.col("n_tokens")), "now": F.when(F.col("version") == 1, F.col("n_tokens"))})
+    short = counted.where("version = 0 and tokenizer = 'words-1' and n_tokens < 10").select(F.col("id").alias("short_id"), F.col("mark").alias("short_mark")).distinct()
+    purged = counted.where("last").join(short, F.col("id").eqNullSafe(F.col("short_id")) & (F.col("mark") == F.col("short_mark")), "left_semi")
     batches = {"load": inserts(counted.where("version = 0")), "revise": revisions(signed, "was", "now"), "purge": deletes(purged)}
     for name in ("load", "revise", "load", "purge", "revise"):
         store.commit(name, batches[name])
