@@ -1,11 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Sizes are words. Targets share all words by weight, no source above
-``max_repeats`` times its size. Words are cut into equal blocks; blocks go to
-sources, then to each source's shards, by highest quotients v / (2 s + 1).
-Within a shard documents lie in a seeded order and the quota picks blocks by
-a seeded systematic draw, so each document's share has a closed form and
-blocks are never rows. Only (doc_id, source, size) rows move.
+``max_repeats`` times its size. The words of each source, its documents in a
+seeded order, are one stream that is cut into blocks; all blocks of all sources
+have the same number of words (the last one of a source may be shorter). One
+common number of blocks goes to the sources by highest quotients v / (2 s + 1)
+of their targets. A quota that exceeds the source is whole passes and a rest;
+the rest goes to the source's shards by highest quotients of their blocks, and
+in each shard a seeded circular run of blocks is drawn. So most documents are
+taken whole or not at all, each document's words follow from a few numbers of
+its shard, and blocks are never rows. Only (doc_id, source, size) rows move.
+Sources, not documents, are ranked as a whole; shards within their source.
 """
 
 from __future__ import annotations
@@ -64,48 +69,71 @@ def targets(sources: DataFrame, weights: Sequence[int], max_repeats: int) -> Dat
     return t.select("source", "source_size", "weight", "place", target.alias("target"))
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number division of longs, rounded down."""
+    return ((a - F.pmod(a, b)) / b).cast("long")
+
+
+def source_quotas(sources: DataFrame, weights: Sequence[int], max_repeats: int, block: int) -> DataFrame:
+    """source, source_size -> with target, unit (words of a block), passes and seats (blocks drawn beyond the passes).
+
+    ``unit`` is ``block``, or less if the least target is under 200 blocks, so
+    that rounding to blocks matters to no source.
+    """
+    every = W.partitionBy(F.lit(0))
+    t = targets(sources, weights, max_repeats)
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    t = t.withColumn("unit", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / 200))).cast("long"))
+    t = t.withColumns({"n_blocks": F.greatest(F.lit(1).cast("long"), _div(F.col("source_size") + F.col("unit") - 1, F.col("unit"))), "votes": F.col("target") / F.col("unit"), "seats": F.round(F.sum("target").over(every) / F.col("unit")).cast("long")})
+    quota = F.least("quota", F.col("n_blocks") * max_repeats)
+    return sainte_lague(t, [], [F.col("place")]).select("source", "source_size", "target", "unit", _div(quota, F.col("n_blocks")).alias("passes"), F.pmod(quota, "n_blocks").alias("seats"))
+
+
+def shard_draws(shards: DataFrame, seed: int) -> DataFrame:
+    """name, shard, shard_size, unit, seats -> name, shard and where the shard lies in its source and what is drawn.
+
+    ``off``: words of the source before the shard; ``first``: its first block,
+    of ``n_blocks`` that begin in it; ``quota`` of them from ``begin`` on, in a
+    circle, are drawn; ``lead``: whether the block before ``first``, which may
+    reach into the shard, is drawn too.
+    """
+    ahead = W.partitionBy("name").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda words: _div(words + F.col("unit") - 1, F.col("unit"))
+    t = shards.withColumn("off", F.coalesce(F.sum("shard_size").over(ahead), F.lit(0)).cast("long")).withColumn("first", upto(F.col("off")))
+    t = materialize(t.withColumn("votes", upto(F.col("off") + F.col("shard_size")) - F.col("first")), "shards")
+    n = F.greatest("votes", F.lit(1).cast("long"))
+    t = sainte_lague(t, ["name"], [F.col("shard")]).withColumn("begin", F.pmod(F.xxhash64(F.lit(seed + 2), "name", "shard"), n))
+    tail = F.when(F.col("votes") > 0, F.pmod(F.col("votes") - 1 - F.col("begin"), n) < F.col("quota"))
+    t = t.withColumn("lead", F.coalesce(F.last(tail, ignorenulls=True).over(ahead), F.lit(False)))
+    return t.select("name", "shard", "unit", "off", "first", F.col("votes").alias("n_blocks"), "quota", "begin", "lead")
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, block: int = 64, seed: int = 17, carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, times, spans, taken: one row per input row.
 
     ``times`` full passes and, once more, the word ranges ``spans`` (from, to;
-    counted from 0, end exclusive) make up ``taken`` words. Blocks hold
-    ``block`` words, or fewer in a source whose target is under 200 blocks.
-    ``carry`` adds ``row``, the whole input row. A null text has size 0 and is
-    never taken; null sources form a source of their own, last in order. Rows
-    of equal doc_id and text are alike and interchangeable. No words at all:
-    every target and taken is 0. Empty table: empty result.
+    counted from 0, end exclusive, apart from each other) make up ``taken``
+    words. ``carry`` adds ``row``, the whole input row. A null text has size 0
+    and is never taken; null sources form a source of their own, last in order.
+    Rows of equal doc_id and text are alike and interchangeable. No words at
+    all: every target and taken is 0. Empty table: empty result.
     """
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null, and no other source, has the empty name
     body = text_of()
     sizes = docs.select("doc_id", "source", name.alias("name"), n_words(body).alias("size"), F.xxhash64(F.lit(seed), "doc_id", body).alias("order"), *row)
-    narrow = materialize(sizes.select("source", "name", "size", "order"), "sizes")
-    goals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    goals = goals.withColumns({"name": name, "block": F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / 200))).cast("long")})
-    goal = small(materialize(goals.drop("source"), "goals"))
+    narrow = materialize(sizes.select("doc_id", "source", "name", "size", "order"), "sizes")
+    goals = source_quotas(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats, block)
+    goal = small(materialize(goals.withColumn("name", name).drop("source"), "goals"))
     shards = max(1, math.isqrt(narrow.count()))  # rows of a shard and shards of a source both grow as the root of the input
     shard = F.pmod(F.xxhash64("order"), F.lit(shards)).cast("int")
-    per = narrow.groupBy("name", shard.alias("shard")).agg(F.sum("size").alias("shard_size")).where("shard_size > 0").join(goal, "name")
-    per = materialize(per.withColumn("votes", F.greatest(F.lit(1), F.round(F.col("shard_size") / F.col("block"))).cast("long")), "shards")
-    blocks = per.groupBy("name", "place", "source_size", "target").agg(F.sum("votes").alias("n_blocks"))
-    # A source's claim is its target counted in its own blocks.
-    claims = blocks.select("name", "place", "n_blocks", (F.col("target") * F.col("n_blocks") / F.col("source_size")).alias("votes"))
-    claims = claims.withColumn("seats", F.round(F.sum("votes").over(W.partitionBy(F.lit(0)))).cast("long"))
-    quotas = sainte_lague(claims, [], [F.col("place")]).select("name", F.least("quota", F.col("n_blocks") * max_repeats).alias("seats"))
-    inner = per.join(small(materialize(quotas, "quotas")), "name").select("name", "shard", "shard_size", "votes", "seats")
-    given = sainte_lague(inner, ["name"], [F.col("shard")]).select("name", "shard", "shard_size", F.col("votes").alias("n_blocks"), F.least("quota", F.col("votes") * max_repeats).alias("quota"))
+    per = narrow.groupBy("name", shard.alias("shard")).agg(F.sum("size").alias("shard_size")).where("shard_size > 0")
+    given = shard_draws(per.join(goal.select("name", "unit", "seats"), "name"), seed).drop("unit")
     ahead = W.partitionBy("name", "shard").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.withColumn("shard", shard).withColumn("start", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    placed = (sizes if carry else narrow).withColumn("shard", shard).withColumn("start", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     full = placed.join(given, ["name", "shard"], "left").join(goal, "name")
-    n = F.coalesce("n_blocks", F.lit(1))
-    drawn = full.select(
-        "doc_id", "source", "size", "source_size", "target", "start", F.coalesce("shard_size", F.lit(1)).alias("shard_size"), n.alias("n_blocks"),
-        F.when(F.col("size") > 0, F.floor(F.coalesce("quota", F.lit(0)) / n)).otherwise(0).cast("long").alias("times"),
-        F.pmod(F.coalesce("quota", F.lit(0)), n).alias("extra"),
-        (F.pmod(F.xxhash64(F.lit(seed + 2), "name", "shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("phase"),
-        *(["row"] if carry else []),
-    )
-    drawn = drawn.withColumn("spans", F.when((F.col("size") > 0) & (F.col("extra") > 0), _spans()).otherwise(F.array().cast(SPANS)))
+    times = F.when(F.col("size") > 0, F.col("passes")).otherwise(0).cast("long")
+    drawn = full.withColumns({"times": times, "spans": F.when((F.col("size") > 0) & F.col("quota").isNotNull(), _spans()).otherwise(F.array().cast(SPANS))})
     taken = F.col("size") * F.col("times") + _length("spans")
     return drawn.select("doc_id", "source", "size", "source_size", "target", "times", "spans", taken.alias("taken"), *(["row"] if carry else []))
 
@@ -114,19 +142,16 @@ SPANS = "array<struct<from: bigint, to: bigint>>"
 
 
 def _spans() -> Column:
-    """The document's word ranges that lie in drawn blocks of its shard.
-
-    Block j begins at floor(j * shard_size / n_blocks); the draw takes j when
-    floor(j * extra / n_blocks + phase) steps up, which it does extra times.
-    """
-    n, words, start = F.col("n_blocks"), F.col("shard_size"), F.col("start")
-    end = start + F.col("size")
-    begin = lambda j: F.floor(j * words / n)
-    steps = lambda j: F.floor(j * F.col("extra") / n + F.col("phase"))
-    block = lambda at: F.floor(((at + 1) * n - 1) / words)
-    drawn = F.filter(F.sequence(block(start), block(end - 1)), lambda j: steps(j + 1) > steps(j))
-    cut = F.transform(drawn, lambda j: F.struct((F.greatest(begin(j), start) - start).alias("from"), (F.least(begin(j + 1), end) - start).alias("to")))
-    return F.filter(cut, lambda x: x["to"] > x["from"]).cast(SPANS)
+    """The document's word ranges in drawn blocks: the block that leads into its shard, the run's part after the turn, the run's begin."""
+    first, begin, quota, n, unit = (F.col(c) for c in ("first", "begin", "quota", "n_blocks", "unit"))
+    start = F.col("off") + F.col("start")
+    cut = lambda a, b: F.struct((F.greatest(a * unit, start) - start).alias("from"), (F.least(b * unit, start + F.col("size")) - start).alias("to"))
+    runs = F.array(
+        cut(F.when(F.col("lead"), first - 1).otherwise(first), first),
+        cut(first, first + F.greatest(F.lit(0), begin + quota - n)),
+        cut(first + begin, first + F.least(begin + quota, n)),
+    )
+    return F.filter(runs, lambda x: x["to"] > x["from"]).cast(SPANS)
 
 
 def _length(spans: str) -> Column:
