@@ -27,33 +27,35 @@ LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 32
 #: Shards are packed one after another in at most so many tasks.
 TASKS = 10_000
+COPIES = 100_000
 SEED = 23
 
 
-def _dry_fill(room: int, waiting: np.ndarray) -> int:
-    """Words that best fit would put into ``room`` from the counts of waiting lengths."""
-    left, used = room, {}
-    while left > 0:
-        at = left
-        while at and waiting[at] - used.get(at, 0) <= 0:
-            at -= 1
-        if not at:
-            break
-        used[at] = used.get(at, 0) + 1
-        left -= at
+def _dry_fill(room: int, waiting: list[int], present: int) -> int:
+    """Words that best fit would put into ``room``: again and again as many as fit of the longest waiting parts that fit."""
+    left, at = room, room
+    while left > 0 and (at := (present & ((1 << min(at, left) + 1) - 1)).bit_length() - 1) > 0:
+        left -= at * min(waiting[at], left // at)
+        at -= 1
     return room - left
 
 
 def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """bin and offset for each size (1 to max(lengths)) in descending order, and each bin's final length."""
+    """bin and offset for each size (1 to max(lengths)) in descending order, and each bin's final length.
+
+    Of bins with equally little room the one that came to it last is used, of
+    lengths that cost equally little a word the shortest is opened.
+    """
     lengths = sorted(lengths)
-    top = lengths[-1]
-    waiting = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=top + 1)
+    waiting = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=lengths[-1] + 1).tolist()
+    present = sum(1 << n for n, c in enumerate(waiting) if c)  # bit n is set while a part of n words waits
     by_room: dict[int, list[int]] = {}
     rooms = 0  # bit r is set while a bin with room r is open
-    cap, free, bins, offsets, memo = [], [], [], [], {}
+    cap, free, bins, offsets = [], [], [], []
     for size in sizes:
         waiting[size] -= 1
+        if not waiting[size]:
+            present &= ~(1 << size)
         fit = rooms >> size
         if fit:
             room = size + (fit & -fit).bit_length() - 1
@@ -61,12 +63,9 @@ def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[
             if not by_room[room]:
                 rooms &= ~(1 << room)
         else:
-            if size not in memo or memo[size][1] <= 0:
-                allowed = lengths[bisect_left(lengths, size):]
-                best = min(allowed, key=lambda c: ((c + OVERHEAD) / (size + _dry_fill(c - size, waiting)), c))
-                memo[size] = [best, 64]  # what waits changes little over a few bins
-            memo[size][1] -= 1
-            b, room = len(cap), memo[size][0]
+            allowed = lengths[bisect_left(lengths, size):]
+            room = min(allowed, key=lambda c: ((c + OVERHEAD) / (size + _dry_fill(c - size, waiting, present)), c))  # noqa: B023
+            b = len(cap)
             cap.append(room)
             free.append(room)
         bins.append(b)
@@ -83,26 +82,27 @@ def text_mark(seed: int = SEED) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", text_of())
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 20_000, seed: int = SEED) -> DataFrame:
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_rows: int = 5_000, seed: int = SEED) -> DataFrame:
     """doc_id, mark, copy, part, start, n_words, bin_id, bin_offset, bin_length, bin_words: one row per part.
 
     A document's parts cover its words from 0 on, ``start`` being the first
     word's place; only its last part may be shorter than the largest length.
     Null, empty and blank texts have no words and thus no part. Rows that
     repeat a doc_id are documents of their own: ``mark`` (text_mark of the row)
-    tells their texts apart, ``copy`` rows of equal doc_id and text. Ties are packed in order of hash, doc_id, copy and
-    part. Empty table: empty result. Other columns are ignored.
+    tells their texts apart, ``copy`` rows of equal doc_id and text. Ties are
+    packed in order of hash, doc_id, copy and part. Empty table: empty result. Other columns are ignored.
     """
-    from pyspark.sql import Window as W
-
     top = max(lengths)
     if min(lengths) < 1:
         raise ValueError("lengths must be positive")
     sizes = docs.select("doc_id", text_mark(seed).alias("mark"), n_words(text_of()).alias("size")).where("size > 0")
     sizes = materialize(sizes, "lengths")
-    shards = max(1, -(-sizes.count() // shard_rows) * 4)
-    alike = W.partitionBy("mark", "doc_id").orderBy("size")
-    rows = sizes.withColumn("copy", F.row_number().over(alike) - 1).withColumn("shard", F.pmod(F.xxhash64("mark", "copy"), F.lit(shards)).cast("int"))
+    shards = max(1, -(-sizes.count() // shard_rows))
+    # Copies are counted and numbered anew in runs of COPIES, so a pair with a third of all rows is no task's alone.
+    alike = sizes.groupBy("doc_id", "mark", "size").agg(F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("mark", "run")
+    rows = alike.withColumn("copy", F.explode(F.sequence((F.col("run") * COPIES).cast("int"), (F.least("n", (F.col("run") + 1) * COPIES) - 1).cast("int"))))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("mark", "copy"), F.lit(shards)).cast("int"))
     parts = rows.select("shard", "doc_id", "mark", "copy", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / top).cast("int"))).alias("part"))
     parts = parts.select("shard", "doc_id", "mark", "copy", "part", (F.col("part").cast("long") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("size") - F.col("part").cast("long") * top).alias("n_words"))
 
