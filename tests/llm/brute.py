@@ -1,8 +1,10 @@
 """Plain Python versions of the operators, for tests."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -155,3 +157,72 @@ def sainte_lague(votes, seats):
         best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
         got[best] += 1
     return got
+
+
+def pack_sizes(sizes, lengths, overhead):
+    """Bins as lists of places in ``sizes`` (descending), and their final lengths, by looking at every bin and waiting part."""
+    bins, when = [], []
+
+    def held(length, at):
+        """Words of a bin of this length opened for ``sizes[at]`` and filled with what fits of the rest."""
+        room = length - sizes[at]
+        for n in sizes[at + 1 :]:
+            room -= n if n <= room else 0
+        return length - room
+
+    for at, size in enumerate(sizes):
+        fits = [(c - sum(sizes[i] for i in held_), -when[b], b) for b, (c, held_) in enumerate(bins) if c - sum(sizes[i] for i in held_) >= size]
+        if fits:
+            b = min(fits)[2]
+            bins[b][1].append(at)
+            when[b] = at
+        else:
+            bins.append((min((c for c in lengths if c >= size), key=lambda c: ((c + overhead) / held(c, at), c)), [at]))
+            when.append(at)
+    return [h for _, h in bins], [min(c for c in lengths if c >= sum(sizes[i] for i in h)) for _, h in bins]
+
+
+def mix(words, shards, begins, unit, quotas, passes_of):
+    """Words taken of each document, block by block.
+
+    ``words``: source -> shard -> [(doc, size)] in order; ``begins``: (source,
+    shard) -> hash; ``quotas``: source -> blocks. Returns doc -> words taken.
+    """
+    taken = Counter()
+    for source, by_shard in words.items():
+        stream, shard_of = [], []
+        for shard in shards[source]:
+            for doc, size in by_shard[shard]:
+                stream += [doc] * size
+                shard_of += [shard] * size
+        blocks = [(shard_of[i], stream[i : i + unit]) for i in range(0, len(stream), unit)]
+        passes, rest = divmod(quotas[source], len(blocks))
+        assert passes == passes_of[source]
+        for doc in stream:
+            taken[doc] += passes
+        own = [[b for s, b in blocks if s == shard] for shard in shards[source]]
+        for shard, mine, n in zip(shards[source], own, sainte_lague([len(x) for x in own], rest), strict=True):
+            for k in range(n):
+                taken.update(mine[(begins[source, shard] + k) % len(mine)])
+    return taken
+
+
+def cutoffs(rows, rules, risk=0.05, delta=0.05, cost=20):
+    """(stratum, rule) -> certified cutoff; rows: (stratum, good, metrics by rule) of labelled documents past the base."""
+    out, strata = {}, {s for s, good, _ in rows}
+    for s in strata:
+        good = [m for x, g, m in rows if x == s and g]
+        bad = [m for x, g, m in rows if x == s and not g]
+        for rule, _, grid in rules:
+            best = None
+            for cut in grid:
+                g, b = (sum(m[rule] > cut for m in part) for part in (good, bad))
+                p, n = Fraction(risk) / len(rules), len(good)
+                tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(g + 1)) if g <= n * p else 1
+                if tail * len(strata) > Fraction(delta) / len(rules):
+                    break
+                if b - cost * g > (best[0] if best else 0):
+                    best = (b - cost * g, cut)
+            if best:
+                out[s, rule] = best[1]
+    return out
