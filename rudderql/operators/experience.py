@@ -2,46 +2,98 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import SharedFolder
+from .ranks import positions
+
 SCHEMA = "id long, pid long, query_id string, template_id string, arm int, plan string, features array<double>, reward double, at timestamp"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 class ExperienceStore:
-    """An append-only Parquet log; statistics are derived by aggregation, never updated in place."""
+    """An append-only Parquet log; statistics are derived by aggregation, never updated in place.
+
+    Rows from ``record`` are held back until ``batch`` of them are there, or
+    the log is read here, or flush() is called: one file for many queries. At
+    most so many rewards are lost with the driver.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, batch: int = 50):
+        self.spark, self.path, self.batch = spark, path.rstrip("/"), batch
+        self._held: list[tuple] = []
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/experience")
 
     def record(self, **row) -> None:
         """One executed query; ``reward`` is its time in ms."""
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        one = self.spark.createDataFrame([tuple(row.get(n) for n in names)], SCHEMA)
-        self.append(one.withColumn("at", F.coalesce("at", F.current_timestamp())).coalesce(1))
+        now = datetime.now(timezone.utc)
+        self._held.append(tuple(row.get(n, now if n == "at" else None) for n in NAMES))
+        if len(self._held) >= self.batch:
+            self.flush()
+
+    def flush(self) -> None:
+        if self._held:
+            self.append(self.spark.createDataFrame(self._held, SCHEMA).coalesce(1))
+            self._held = []
 
     def experience(self) -> DataFrame:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/experience")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        self.flush()
+        if not SharedFolder(self.spark, self.path).there("experience"):
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/experience")
 
+    def experiments(self) -> dict[str, str]:
+        """query_id -> SQL of the registered test queries: few, since each runs under every arm."""
+        if not SharedFolder(self.spark, self.path).there("experiments"):
+            return {}
+        return {r.query_id: r.sql for r in self.spark.read.schema("query_id string, sql string").parquet(f"{self.path}/experiments").collect()}
+
+    def add_experiment(self, query_id: str, sql: str) -> None:
+        self.spark.createDataFrame([(query_id, sql)], "query_id string, sql string").coalesce(1).write.mode("append").parquet(f"{self.path}/experiments")
+
     def arm_stats(self) -> DataFrame:
         return welford(self.experience(), ["template_id", "arm"], "reward")
 
     def templates(self) -> DataFrame:
-        return self.experience().groupBy("template_id").agg(F.count(F.lit(1)).alias("sample_count"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+        return templates(self.experience())
 
     def latest(self) -> DataFrame:
         return latest(self.experience(), ["pid"], [F.desc("id")])
 
     def status(self) -> dict:
-        r = self.experience().agg(F.count(F.lit(1)).alias("experience"), F.count_distinct("query_id").alias("queries"), F.count_distinct("template_id").alias("templates")).first()
-        return r.asDict()
+        return totals(self.experience()).first().asDict()
+
+
+def templates(log: DataFrame) -> DataFrame:
+    """template_id, how often it was run, and when first and last."""
+    return log.groupBy("template_id").agg(F.count(F.lit(1)).alias("sample_count"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+
+
+def totals(log: DataFrame) -> DataFrame:
+    """One row: runs, and distinct queries and templates among them."""
+    return log.agg(F.count(F.lit(1)).alias("experience"), F.count_distinct("query_id").alias("queries"), F.count_distinct("template_id").alias("templates"))
+
+
+def arm_usage(log: DataFrame) -> DataFrame:
+    return log.groupBy("arm").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def arm_ranking(log: DataFrame) -> DataFrame:
+    """template_id, arm, its best reward, runs and place among the template's arms, from 1; equal rewards by arm."""
+    best = log.groupBy("template_id", "arm").agg(F.min("reward").alias("best"), F.count(F.lit(1)).alias("runs"))
+    return best.withColumn("place", F.row_number().over(W.partitionBy("template_id").orderBy("best", "arm")))
+
+
+def exploration_arms(log: DataFrame, top: int = 3, least_seen: int = 2) -> DataFrame:
+    """template_id, arm: the ``top`` arms run ``least_seen`` times at least, but never a template's worst."""
+    ranked = arm_ranking(log).withColumn("arms", F.count(F.lit(1)).over(W.partitionBy("template_id")))
+    return ranked.where((F.col("place") <= top) & (F.col("runs") >= least_seen) & (F.col("place") < F.col("arms"))).select("template_id", "arm")
 
 
 def welford(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -81,24 +133,44 @@ def pending(experiments: DataFrame, arms: DataFrame, done: DataFrame) -> DataFra
     return experiments.crossJoin(F.broadcast(arms)).join(done, ["query_id", "arm"], "left_anti")
 
 
-def sample_budgeted(df: DataFrame, budget: int = 1000, cap: int = 100, per_arm: int = 5, hard: float = 0.2) -> DataFrame:
-    """At most ``budget`` rows of (id, template_id, arm, reward, ...), all of them if they are no more.
+def hard_tail(df: DataFrame, share: float = 0.2) -> DataFrame:
+    """The ``share`` of all rows (rounded up) with the largest reward, equal ones by id."""
+    n = -int(-df.count() * share // 1)
+    return positions(df, [F.desc("reward"), F.asc("id")], "_position").where(F.col("_position") <= n).drop("_position")
+
+
+def template_cap(df: DataFrame, cap: int) -> DataFrame:
+    """Of each template the ``cap`` rows with the largest reward, equal ones by id."""
+    return _ranked(df, ["template_id"], [F.desc("reward"), F.asc("id")]).where(F.col("_rank") <= cap).drop("_rank")
+
+
+def arm_coverage(df: DataFrame, per_arm: int) -> DataFrame:
+    """Of each template and arm the ``per_arm`` rows with the largest reward, equal ones by id."""
+    return _ranked(df, ["template_id", "arm"], [F.desc("reward"), F.asc("id")]).where(F.col("_rank") <= per_arm).drop("_rank")
+
+
+def sample_budgeted(df: DataFrame, budget: int = 1000, cap: int = 100, per_arm: int = 5, hard: float = 0.2, vector: str | None = None, diverse: int = 0) -> DataFrame:
+    """At most ``budget`` rows of (id, template_id, arm, reward, ...), all of them if they are no more; ids must be distinct.
 
     First come the worst ``hard`` share, then rows that give each arm of a
-    template ``per_arm``, then others, at most ``cap`` of a template in the
-    last two. Priority is class, then reward downwards, then id.
+    template ``per_arm``, then others, at most ``cap`` of a template. Priority
+    is class, then reward downwards, then id. With ``vector`` (an array
+    column) up to ``diverse`` of the budget go to rows of the last class that
+    are farthest apart, instead of those with the largest reward.
     """
-    n = df.count()
-    if n <= budget:
+    if df.count() <= budget:
         return df
-    worst = df.orderBy(F.desc("reward"), "id").limit(int(-(-n * hard // 1)))
-    marked = df.join(worst.select("id", F.lit(True).alias("_hard")), "id", "left").withColumn("_hard", F.coalesce("_hard", F.lit(False)))
-    by_template = W.partitionBy("template_id").orderBy(F.desc("_hard"), F.desc("reward"), "id")
-    by_arm = W.partitionBy("template_id", "arm").orderBy(F.desc("reward"), "id")
-    ranks = marked.withColumns({"_t": F.row_number().over(by_template), "_a": F.row_number().over(by_arm)})
-    tier = F.when(F.col("_hard"), 0).when(F.col("_a") <= per_arm, 1).otherwise(2)
-    kept = ranks.withColumn("_tier", tier).where((F.col("_t") <= cap) | (F.col("_tier") < 2))
-    return kept.orderBy("_tier", F.desc("reward"), "id").limit(budget).select(*df.columns)
+    top = lambda rows, n: rows.orderBy(F.desc("reward"), "id").limit(n)
+    keep = max(0, budget - diverse) if vector else budget
+    # No more than ``keep`` rows of a class can be used, so the classes meet as a few rows.
+    tiers = [top(x, keep).select("id", "reward", F.lit(i).alias("_tier")) for i, x in enumerate((hard_tail(df, hard), arm_coverage(df, per_arm), template_cap(df, cap)))]
+    first = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("id").agg(F.min("_tier").alias("_tier"), F.first("reward").alias("reward"))
+    ids = first.orderBy("_tier", F.desc("reward"), "id").limit(keep).select("id")
+    chosen = df.join(F.broadcast(ids), "id", "left_semi")  # ``budget`` rows at most
+    if not vector or not diverse:
+        return chosen
+    left = template_cap(df.join(F.broadcast(ids), "id", "left_anti"), cap)
+    return chosen.unionByName(k_centers(left, vector, "id", diverse))
 
 
 def k_centers(df: DataFrame, vector: str, key: str, k: int, duplicate: float = 0.995) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,17 +41,23 @@ class LatencyModel:
         x = np.array([1.0, *features])
         return [max(0.0, self.unscale(float(np.clip(x @ self.base + (x @ self.deltas[a] if a in self.deltas else 0.0), -0.5, 1.5)))) for a in arms]
 
-    def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump(self.__dict__ | {"deltas": {str(k): v for k, v in self.deltas.items()}}, f)
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """As one line of JSON in a folder of any file system that Spark can write."""
+        text = json.dumps(self.__dict__ | {"deltas": {str(k): v for k, v in self.deltas.items()}})
+        (spark or SparkSession.active()).createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
-    def load(cls, path: str) -> LatencyModel:
-        with open(path) as f:
-            d = json.load(f)
+    def load(cls, path: str, spark: SparkSession | None = None) -> LatencyModel:
+        d = json.loads((spark or SparkSession.active()).read.text(path).first().value)
         return cls(**(d | {"deltas": {int(k): v for k, v in d["deltas"].items()}}))
 
 
+def scaled_rewards(df: DataFrame, reward: str = "reward", name: str = "scaled") -> DataFrame:
+    """Add 1 for the least reward, 0 for the largest, in between by log1p; 1 if all are equal."""
+    edges = F.broadcast(df.agg(F.min(F.log1p(reward)).alias("_lo"), F.max(F.log1p(reward)).alias("_hi")))
+    return df.join(edges).withColumn(name, 1 - (F.log1p(reward) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))).drop("_lo", "_hi")
+
+
 def _moments(df: DataFrame, width: int, y) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """arm -> (sum x x', sum x y), x with a leading 1; width is bounded by the feature list."""
     def part(batches):

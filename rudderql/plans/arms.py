@@ -16,13 +16,34 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 FLAGS = ("enable_hashjoin", "enable_mergejoin", "enable_nestloop", "enable_indexscan", "enable_seqscan", "enable_indexonlyscan")
-#: The strategies of each arm. h hash, m merge, n nested loop, i index, s sequential, o index-only. There is no arm 6.
+#: Whether an arm allows hash join, merge join, nested loop, index scan, sequential scan, index-only scan. There is no arm 6.
 ALLOWED = {
-    0: "hmniso", 1: "hmiso", 2: "hnso", 3: "hso", 4: "mniso", 5: "hniso",
-    7: "mno", 8: "ho", 9: "hnio", 10: "hiso", 11: "hmnso", 12: "hmso", 13: "hni", 14: "ni", 15: "mnis", 16: "nio",
-    17: "hmnio", 18: "mni", 19: "mnso", 20: "niso", 21: "hmio", 22: "hmo", 23: "hnis", 24: "hi", 25: "hno",
-}
-LETTERS = "hmniso"
+    0: (True, True, True, True, True, True),
+    1: (True, True, False, True, True, True),
+    2: (True, False, True, False, True, True),
+    3: (True, False, False, False, True, True),
+    4: (False, True, True, True, True, True),
+    5: (True, False, True, True, True, True),
+    7: (False, True, True, False, False, True),
+    8: (True, False, False, False, False, True),
+    9: (True, False, True, True, False, True),
+    10: (True, False, False, True, True, True),
+    11: (True, True, True, False, True, True),
+    12: (True, True, False, False, True, True),
+    13: (True, False, True, True, False, False),
+    14: (False, False, True, True, False, False),
+    15: (False, True, True, True, True, False),
+    16: (False, False, True, True, False, True),
+    17: (True, True, True, True, False, True),
+    18: (False, True, True, True, False, False),
+    19: (False, True, True, False, True, True),
+    20: (False, False, True, True, True, True),
+    21: (True, True, False, True, False, True),
+    22: (True, True, False, False, False, True),
+    23: (True, False, True, True, True, False),
+    24: (True, False, False, True, False, False),
+    25: (True, False, True, False, False, True),
+}
 DEFAULT_ARMS = (0, 1, 2, 3, 4, 5)
 
 
@@ -36,7 +57,7 @@ class Arm:
 
     @property
     def config(self) -> dict:
-        return {flag: letter in ALLOWED[self.index] for flag, letter in zip(FLAGS, LETTERS, strict=True)} | {"index": self.index}
+        return dict(zip(FLAGS, ALLOWED[self.index], strict=True)) | {"index": self.index}
 
     @property
     def config_json(self) -> str:
@@ -85,12 +106,27 @@ def settings(spark: SparkSession, values: dict) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: A string or a quoted name (group 1), or a comment.
+_QUOTED_OR_COMMENT = r"""(?s)('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|--[^\n]*|/\*(?!\+).*?\*/"""
+
+
+def uncommented(sql: str) -> str:
+    """``sql`` without comments; what looks like one inside a string stays."""
+    return re.sub(_QUOTED_OR_COMMENT, lambda m: m[1] or " ", sql).strip()
+
+
 def with_hint(sql: str, hint: str) -> str:
-    """``sql`` with the hint after its first SELECT."""
-    return re.sub(r"(?i)\bselect\b", f"select /*+ {hint} */", sql, count=1) if hint else sql
+    """``sql`` with the hint after its first SELECT; comments go."""
+    return re.sub(r"(?i)\bselect\b", lambda m: f"{m[0]} /*+ {hint} */", uncommented(sql), count=1) if hint else sql
 
 
-def aliases(sql: str) -> list[str]:
-    """Aliases (else names) in the first FROM list of comma-joins."""
-    inside = re.search(r"(?is)\bfrom\b(.*?)(?:\bwhere\b|\bgroup\s+by\b|\border\s+by\b|\blimit\b|$)", re.sub(r"--[^\n]*", " ", sql))
-    return [part.split()[-1] for part in inside.group(1).split(",")] if inside else []
+def aliases(sql: str, spark: SparkSession | None = None) -> list[str]:
+    """Aliases (else names) of the relations in the outermost FROM, as the parser sees them; [] if it has none or is no query."""
+    from pyspark.errors import ParseException
+
+    from .catalyst import from_names, parse
+
+    try:
+        return from_names(parse(spark or SparkSession.active(), sql))
+    except ParseException:
+        return []

@@ -109,26 +109,11 @@ BOTH = {
     "reward_scale": ("select event_id, round(1 - (ln(1 + value) - lo) / (hi - lo), 9) s from (select event_id, value, min(ln(1 + value)) over () lo, max(ln(1 + value)) over () hi from events) x", "select event_id, round(1 - (ln(1 + value) - lo) / (hi - lo), 9) s from (select event_id, value, min(ln(1 + value)) over () lo, max(ln(1 + value)) over () hi from events) x"),
     "reward_inverse": ("select event_id, round(expm1(log1p(value)), 6) v from events", "select event_id, round(exp(ln(1 + value)) - 1, 6) v from events"),
     "safe_division": ("select l_orderkey, l_linenumber, round(l_tax / (l_discount + 1e-9), 6) r from lineitem", "select l_orderkey, l_linenumber, round(l_tax / (l_discount + 1e-9::double), 6) r from lineitem"),
-    "natural_sort": ("select p_name, cast(nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') as int) k, count(*) n from part group by 1, 2 order by k, p_name limit 50", "select p_name, cast(nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') as int) k, count(*) n from part group by 1, 2 order by k, p_name limit 50"),
+    "natural_sort": ("select p_name, cast(nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') as int) k, count(*) n from part group by 1, 2 order by k, p_name", "select p_name, cast(nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') as int) k, count(*) n from part group by 1, 2 order by k, p_name"),
     "completion_curve": ("select event_id, row_number() over (order by ts, event_id) done, round((unix_micros(ts_z) - min(unix_micros(ts_z)) over ()) / 6e7, 6) mins from (select event_id, ts, cast(ts as timestamp) ts_z from events) x", "select event_id, row_number() over (order by ts, event_id) done, round((epoch_us(ts) - min(epoch_us(ts)) over ()) / 6e7::double, 6) mins from events"),
     "trained_before": ("select event_id, before_n from (select event_id, event_type, count(case when event_type <> 'error' then 1 end) over (order by ts, event_id rows between unbounded preceding and current row) before_n from events) x where event_type = 'error'",) * 2,
     "array_difference": ("select user_id, size(array_except(sequence(0, 5), collect_set(cast(event_id % 6 as int)))) unseen from events group by user_id", "select user_id, cast(6 - count(distinct event_id % 6) as int) unseen from events group by user_id"),
     "cosine_to_first": ("select vec_id, round(case when nx < 1e-8 or ny < 1e-8 then 0 else d / (nx * ny) end, 6) c from (select x.vec_id, aggregate(zip_with(x.embedding, y.embedding, (p, q) -> double(p) * double(q)), 0D, (s, v) -> s + v) d, sqrt(aggregate(x.embedding, 0D, (s, v) -> s + double(v) * double(v))) nx, sqrt(aggregate(y.embedding, 0D, (s, v) -> s + double(v) * double(v))) ny from embeddings x join (select label, min(vec_id) vec_id from embeddings group by label) f on f.label = x.label join embeddings y on y.vec_id = f.vec_id) z", "select x.vec_id, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) c from embeddings x join (select label, min(vec_id) vec_id from embeddings group by label) f on f.label = x.label join embeddings y on y.vec_id = f.vec_id"),
 }
 
-#: A small plan as rows: query, node, parent, depth, type, relation, cost, rows.
-PLAN_ROWS = "(values (1, 0, -1, 0, 'Aggregate', null, 90.0, 5.0), (1, 1, 0, 1, 'Hash Join', null, 80.0, 900.0), (1, 2, 1, 2, 'Seq Scan', 'orders', 30.0, 1500.0), (1, 3, 1, 2, 'Nested Loop', null, 40.0, 200000.0), (1, 4, 3, 3, 'Index Scan', 'customer', 8.0, 10.0), (1, 5, 3, 3, 'Seq Scan', 'orders', 12.0, 1500.0), (2, 0, -1, 0, 'Merge Join', null, 50.0, 70.0), (2, 1, 0, 1, 'Sort', null, 20.0, 70.0), (2, 2, 1, 2, 'Seq Scan', 'part', 10.0, 70.0), (2, 3, 0, 1, 'Index Only Scan', 'lineitem', 15.0, 60.0)) as p(query_id, node_id, parent_id, depth, node_type, relation, cost, est_rows)"
-ATTRIBUTES = "(values ('orders', 'o_custkey', true, true, true, false, false), ('orders', 'o_totalprice', true, false, false, true, true), ('orders', 'o_comment', false, false, false, false, false), ('customer', 'c_custkey', true, false, true, false, false), ('part', 'p_name', true, true, false, false, false)) as t(tbl, col, in_sql, in_where, in_join, in_group, is_numeric)"
-PLANS = {
-    "plan_shares": f"select query_id, relation, sum(cost) / max(total) cost_share, sum(est_rows) / max(total_rows) rows_share from (select p.*, sum(cost) over (partition by query_id) total, sum(est_rows) over (partition by query_id) total_rows from {PLAN_ROWS}) x where relation is not null group by query_id, relation",
-    "op_shares": f"select query_id, node_type, sum(cost) / max(total) share from (select p.*, sum(cost) over (partition by query_id) total from {PLAN_ROWS}) x group by query_id, node_type",
-    "depth_shares": f"select query_id, least(depth, 3) level_no, sum(cost) / max(total) share from (select p.*, sum(cost) over (partition by query_id) total from {PLAN_ROWS}) x group by query_id, least(depth, 3)",
-    "op_shape_capped": f"select query_id, least(4, cast(sum(case when node_type like '%Join' or node_type = 'Nested Loop' then 1 else 0 end) as int)) j, least(4, cast(sum(case when node_type like '%Scan' then 1 else 0 end) as int)) s, least(4, cast(sum(case when node_type = 'Sort' then 1 else 0 end) as int)) o, least(4, cast(sum(case when node_type like '%Aggregate%' then 1 else 0 end) as int)) a, max(est_rows) top_rows from {PLAN_ROWS} group by query_id",
-    "plan_max_rows": f"select query_id, max(est_rows) r, case when max(est_rows) < 1000 then 0 when max(est_rows) < 100000 then 1 else 2 end bucket from {PLAN_ROWS} group by query_id",
-    "cost_attribution": f"select query_id, parent_id, sum(case when node_type like '%Scan' then cost else cost * 0.6 end) to_tables, sum(case when node_type like '%Scan' then 0 else cost * 0.4 end) to_keys from {PLAN_ROWS} group by query_id, parent_id",
-    "flags_rollup": f"select tbl, max(case when in_sql then 1 else 0 end) insql, max(case when in_where then 1 else 0 end) has_where, max(case when in_join then 1 else 0 end) has_join, max(case when in_group then 1 else 0 end) has_group, max(case when is_numeric then 1 else 0 end) has_numeric from {ATTRIBUTES} group by tbl",
-    "adjacency_edges": f"select tbl src, col dst from {ATTRIBUTES} union all select x.col src, y.col dst from {ATTRIBUTES.replace('as t(', 'as x(')} join {ATTRIBUTES.replace('as t(', 'as y(')} on x.tbl = y.tbl and x.col < y.col",
-    "broadcast_metric": f"select t.tbl, t.col, coalesce(m.c, 0) metric from {ATTRIBUTES} left join (select relation, sum(cost) c from {PLAN_ROWS} group by relation) m on m.relation = t.tbl",
-}
-
-ALL = TEMPLATES | OPERATORS | PLANS
+ALL = TEMPLATES | OPERATORS

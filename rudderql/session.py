@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import configparser
 import json
 import os
 import random
+import threading
 import time
 import uuid
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, fields
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +21,7 @@ from .functions.features import query_features
 from .functions.policy import Choice, choose, cold_start, normal_cost
 from .operators import learning, regression
 from .operators.experience import ExperienceStore, pending, sample_budgeted
-from .plans.arms import DEFAULT_ARMS, Arm, aliases, settings, with_hint
+from .plans.arms import ALLOWED, Arm, aliases, settings, uncommented, with_hint
 from .plans.catalyst import join_strategies, plan_tree
 from .plans.templates import FACTS
 
@@ -44,8 +48,39 @@ class SteeringConfig:
     def __post_init__(self):
         if self.mode not in ("native", "cold_start", "model"):
             raise ValueError(f"no mode {self.mode!r}")
-        if not 1 <= self.num_arms <= len(DEFAULT_ARMS):
-            raise ValueError(f"num_arms is 1 to {len(DEFAULT_ARMS)}")
+        if not 1 <= self.num_arms <= max(ALLOWED) + 1:
+            raise ValueError(f"num_arms is 1 to {max(ALLOWED) + 1}")
+        if self.max_query_seconds <= 0:
+            raise ValueError("max_query_seconds must be positive")
+
+    @classmethod
+    def read(cls, text: str, section: str = "steering") -> SteeringConfig:
+        """From the text of an INI file; options that are not there keep their defaults, unknown ones are an error."""
+        ini = configparser.ConfigParser()
+        ini.read_string(text)
+        if section not in ini:
+            raise ValueError(f"no section [{section}]")
+        known, out = {f.name: f for f in fields(cls)}, {}
+        for key in ini[section]:
+            if key not in known:
+                raise ValueError(f"no option {key!r}")
+            kind = type(known[key].default)
+            out[key] = ini[section].getboolean(key) if kind is bool else tuple(x.strip() for x in ini[section][key].split(",")) if kind is tuple else kind(ini[section][key])
+        return cls(**out)
+
+
+class QueryTimeout(RuntimeError):
+    """The query was cancelled because its time was up."""
+
+
+class Run(NamedTuple):
+    choice: Choice
+    ms: float
+    result: Any = None
+
+
+def _noop(df: DataFrame) -> None:
+    df.write.format("noop").mode("overwrite").save()
 
 
 class Steering:
@@ -61,21 +96,24 @@ class Steering:
         self.store, self.folder = ExperienceStore(spark, store), store
         self.model: learning.LatencyModel | None = None
         self.uses: dict[int, int] = {}
+        self._seen: dict[str, Counter] = {}  # template -> arm -> runs: read from the log once a template, then kept in step
         self.last_error: str | None = None
         self._random = random.Random(self.config.seed)
         self._features: dict[str, dict] = {}
-        self.experiments: dict[str, str] = {}
+        self.experiments: dict[str, str] = self.store.experiments()
 
     @property
     def arms(self) -> list[int]:
-        return list(DEFAULT_ARMS[: self.config.num_arms])
+        """The arms with an index below num_arms."""
+        return [a for a in sorted(ALLOWED) if a < self.config.num_arms]
 
     def hinted(self, sql: str, arm: int) -> str:
-        return with_hint(sql, Arm(arm).hints(aliases(sql), self.config.facts))
+        return with_hint(sql, Arm(arm).hints(aliases(sql, self.spark), self.config.facts))
 
     def eligible(self, sql: str) -> bool:
-        """A SELECT over named relations only."""
-        return sql.lstrip().lower().startswith("select") and bool(aliases(sql)) and all(a.isidentifier() for a in aliases(sql))
+        """A SELECT over named relations only; comments before it do not matter."""
+        names = aliases(sql, self.spark) if uncommented(sql).lower().startswith("select") else []
+        return bool(names) and all(a.isidentifier() for a in names)
 
     def features(self, sql: str) -> dict:
         if sql not in self._features:
@@ -102,8 +140,9 @@ class Steering:
             if self.config.mode == "cold_start" or self.model is None:
                 return Choice(cold_start(self.plan_costs(sql), self.uses), "cold_start")
             f = self.features(sql)
-            stats = {r.arm: r.n for r in self.store.arm_stats().where(F.col("template_id") == f["template_id"]).collect()}  # an arm a row
-            return choose(self.predict(sql), stats, sum(stats.values()), cost=normal_cost(f["cost"]), rng=self._random)
+            runs, arms = self._runs(f["template_id"]), self.arms
+            choice = choose(self.predict(sql), {i: runs[a] for i, a in enumerate(arms) if runs[a]}, sum(runs.values()), cost=normal_cost(f["cost"]), rng=self._random)
+            return Choice(arms[choice.arm], choice.mode, choice.trace)  # scores go by place, and arm 6 has none
         except Exception as e:  # noqa: BLE001  selection must never stop a query
             self.last_error = str(e)
             return Choice(0, "fallback")
@@ -112,23 +151,64 @@ class Steering:
         """The query under an arm (the chosen one if none is given), analysed but not run."""
         return self.spark.sql(self.hinted(sql, self.select(sql).arm if arm is None else arm))
 
-    def run(self, sql: str, arm: int | None = None, query_id: str | None = None) -> tuple[Choice, float]:
-        """Run a query to the end without keeping its rows; (choice, milliseconds)."""
+    def _runs(self, template: str) -> Counter:
+        if template not in self._seen:
+            counts = self.store.experience().where(F.col("template_id") == template).groupBy("arm").count().collect()  # an arm a row
+            self._seen[template] = Counter({r.arm: r["count"] for r in counts})
+        return self._seen[template]
+
+    def run(self, sql: str, arm: int | None = None, query_id: str | None = None, sink: Callable[[DataFrame], Any] = _noop, timeout: float | None = None) -> Run:
+        """Run a query once, record its time, and return the choice, the milliseconds and what ``sink`` made of the rows.
+
+        ``sink`` gets the query's DataFrame and must use it up; without one
+        the rows are computed and dropped. After ``timeout`` seconds (default
+        max_query_seconds) the query is cancelled and QueryTimeout raised.
+        """
         choice = self.select(sql) if arm is None else Choice(arm, "given")
+        limit, context, job = timeout or self.config.max_query_seconds, self.spark.sparkContext, f"steered-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(job)
+
+        timer = threading.Timer(limit, stop)
         with settings(self.spark, Arm(choice.arm).settings):
+            df = self.frame(sql, choice.arm)
+            context.setJobGroup(job, "steered query", interruptOnCancel=True)
+            timer.start()
             began = time.perf_counter()
-            self.frame(sql, choice.arm).write.format("noop").mode("overwrite").save()
-            ms = (time.perf_counter() - began) * 1000
+            try:
+                result = sink(df)
+            except Exception as e:
+                if late.is_set():
+                    raise QueryTimeout(f"stopped after {limit} s") from e
+                raise
+            finally:
+                ms = (time.perf_counter() - began) * 1000
+                timer.cancel()
+                context.setLocalProperty("spark.jobGroup.id", None)
         self.uses[choice.arm] = self.uses.get(choice.arm, 0) + 1
         if self.config.record_rewards:
             self.record(sql, choice.arm, ms, query_id)
-        return choice, ms
+        return Run(choice, ms, result)
+
+    def collect(self, sql: str, arm: int | None = None) -> list:
+        """The rows of a query that is run once, timed and recorded; for results that fit the driver."""
+        return self.run(sql, arm, sink=DataFrame.collect).result
+
+    def save_as(self, sql: str, path: str, arm: int | None = None) -> DataFrame:
+        """Run a query once into Parquet files, timed and recorded, and return what reads them."""
+        self.run(sql, arm, sink=lambda df: df.write.mode("overwrite").parquet(path))
+        return self.spark.read.parquet(path)
 
     def record(self, sql: str, arm: int, reward: float, query_id: str | None = None) -> None:
         try:
             f = self.features(sql)
             plan = json.dumps({"Plan": {"Node Type": plan_tree(self.spark, sql)[0]["node_type"], "Total Cost": f["cost"]}})
+            runs = self._runs(f["template_id"])
             self.store.record(id=time.time_ns(), pid=os.getpid(), query_id=query_id or uuid.uuid5(uuid.NAMESPACE_OID, sql).hex, template_id=f["template_id"], arm=arm, plan=plan, features=[float(x) for x in f["numbers"].values()], reward=float(reward))
+            runs[arm] += 1
         except Exception as e:  # noqa: BLE001  a lost reward must not fail a query that ran
             self.last_error = str(e)
 
@@ -144,11 +224,17 @@ class Steering:
             raise ValueError("only a SELECT over named relations can be an experiment")
         self.spark.sql(sql)
         key = uuid.uuid5(uuid.NAMESPACE_OID, sql).hex
+        if key not in self.experiments:
+            self.store.add_experiment(key, sql)
         self.experiments[key] = sql
         return key
 
     def experiment(self, seconds: float = 60.0) -> int:
-        """Run (experiment, arm) pairs that were not run yet until time is up; how many ran."""
+        """Run (experiment, arm) pairs that were not run yet until time is up; how many ran.
+
+        A run that takes max_query_seconds is cancelled and recorded with
+        twice that time; one that only the end of ``seconds`` stops is not.
+        """
         if not self.experiments:
             return 0
         asked = self.spark.createDataFrame([(k,) for k in self.experiments], "query_id string")
@@ -156,9 +242,15 @@ class Steering:
         todo = pending(asked, arms, self.store.experience().select("query_id", "arm")).orderBy("query_id", "arm").collect()
         end, n = time.monotonic() + seconds, 0
         for r in todo:
-            if time.monotonic() > end:
+            left = end - time.monotonic()
+            if left <= 0:
                 break
-            self.run(self.experiments[r.query_id], r.arm, r.query_id)
+            try:
+                self.run(self.experiments[r.query_id], r.arm, r.query_id, timeout=min(left, self.config.max_query_seconds))
+            except QueryTimeout:
+                if left < self.config.max_query_seconds:
+                    break
+                self.record(self.experiments[r.query_id], r.arm, 2000 * self.config.max_query_seconds, r.query_id)
             n += 1
         return n
 
@@ -192,21 +284,43 @@ class Steering:
         return False
 
     def save(self, path: str) -> None:
-        self.model.save(path)
+        """To any folder that Spark can write."""
+        self.model.save(path, self.spark)
 
     def load(self, path: str) -> None:
-        self.model = learning.LatencyModel.load(path)
+        self.model = learning.LatencyModel.load(path, self.spark)
 
     def status(self) -> dict:
         return self.store.status() | {"model_samples": self.model.samples if self.model else 0, "experiments": len(self.experiments)}
 
-    def replay(self, sqls: Iterable[tuple[str, str]], k: int = 200, retrain: bool = True) -> list[tuple]:
-        """Draw ``k`` of the (path, sql) with the seed, run them in rounds, retrain between: rows (round, path, at, ms, arm)."""
+    def replay(self, sqls: Iterable[tuple[str, str]], k: int = 200, retrain: bool = True, warm_up: int = 0) -> list[tuple]:
+        """Draw ``k`` of the (path, sql) with the seed, run them in rounds, retrain between: rows (round, path, at, ms, arm).
+
+        The first ``warm_up`` runs use Spark's own plan and make up round -1.
+        A query that is cancelled counts twice max_query_seconds.
+        """
         pool, out = list(sqls), []
         drawn = random.Random(self.config.seed).choices(pool, k=k)
         for i, (path, sql) in enumerate(drawn):
-            if retrain and i and i % self.config.round_size == 0:
+            after = i - warm_up
+            if retrain and after >= 0 and i and after % self.config.round_size == 0:
                 self.retrain()
-            choice, ms = self.run(sql)
-            out.append((i // self.config.round_size, path, time.time(), ms, choice.arm))
+            choice = Choice(0, "native") if after < 0 else self.select(sql)
+            try:
+                ms = self.run(sql, choice.arm).ms
+            except QueryTimeout:
+                ms = 2000 * self.config.max_query_seconds
+                self.record(sql, choice.arm, ms)
+            out.append((after // self.config.round_size if after >= 0 else -1, path, time.time(), ms, choice.arm))
         return out
+
+    def compare(self, sqls: Iterable[tuple[str, str]], k: int = 200, warm_up: int = 0) -> list[tuple]:
+        """The same draw under Spark's own plans and steered, one after the other: rows (path, native ms, steered ms, arm)."""
+        pool, mode = list(sqls), self.config.mode
+        steered = self.replay(pool, k, warm_up=warm_up)
+        self.config.mode = "native"
+        try:
+            native = self.replay(pool, k, retrain=False, warm_up=warm_up)
+        finally:
+            self.config.mode = mode
+        return [(s[1], n[3], s[3], s[4]) for s, n in zip(steered, native, strict=True)]

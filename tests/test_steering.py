@@ -1,15 +1,20 @@
+import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rudderql import cli
 from rudderql.functions import features, policy
-from rudderql.operators import analysis, experience, learning, regression, trees
+from rudderql.functions import policy_columns as columns
+from rudderql.operators import analysis, experience, learning, ranks, regression, trees
 from rudderql.plans import arms, catalyst
 from rudderql.plans.templates import ARM_SQL, FACTS, TEMPLATES
-from rudderql.session import Steering, SteeringConfig
+from rudderql.session import QueryTimeout, Steering, SteeringConfig
 from rudderql.sources import tables
 
 
@@ -51,7 +56,11 @@ def test_arms(spark, views):
     with pytest.raises(ValueError):
         arms.Arm(6)
     assert len(arms.ALLOWED) == 25 and arms.Arm(0).hint_text == "" and arms.Arm(3).config["enable_mergejoin"] is False
-    assert arms.aliases(ARM_SQL) == ["u", "q", "a", "t"] and arms.aliases("select 1") == []
+    assert arms.aliases(ARM_SQL) == ["u", "q", "a", "t"] and arms.aliases("select 1") == [] and arms.aliases("no query") == []
+    odd = "-- select x from y\n/* from z */ select (select max(r_regionkey) from region) m, '-- from w' t from nation a join customer b on a.n_nationkey = b.c_nationkey, orders where exists (select 1 from part)"
+    assert arms.aliases(odd) == ["a", "b", "orders"] and arms.aliases("select 1 from x union select 2 from y") == []
+    assert arms.uncommented(odd).startswith("select (select max") and "'-- from w'" in arms.uncommented(odd)
+    assert arms.with_hint(odd, "MERGE(a)").startswith("select /*+ MERGE(a) */ (select max")
     kinds = {i: set(catalyst.join_strategies(spark, arms.with_hint(ARM_SQL, arms.Arm(i).hints(arms.aliases(ARM_SQL), FACTS)))) for i in (1, 2, 3, 5)}
     assert kinds[1] == {"SortMergeJoinExec"} and kinds[3] == {"ShuffledHashJoinExec"} and "BroadcastHashJoinExec" in kinds[2] and kinds[5] >= {"ShuffledHashJoinExec"}
     before = spark.conf.get("spark.sql.adaptive.enabled")
@@ -104,6 +113,43 @@ def test_samplers(spark):
         assert (r.n, r.mean, r.m2) == pytest.approx((whole[r.arm].n, whole[r.arm].mean, whole[r.arm].m2))
 
 
+def test_sampler_diversity(spark):
+    rng = random.Random(3)
+    rows = [(i, f"t{i % 5}", i % 3, rng.random(), [rng.random(), rng.random()]) for i in range(300)] + [(999, "far", 0, 0.0, [50.0, -50.0])]
+    df = spark.createDataFrame(rows, "id long, template_id string, arm int, reward double, v array<double>")
+    plain = {r.id for r in experience.sample_budgeted(df, 60, 20, 1, 0.1).collect()}
+    got = {r.id for r in experience.sample_budgeted(df, 60, 20, 1, 0.1, "v", 10).collect()}
+    assert len(plain) == 60 and 50 < len(got) <= 60 and 999 in got and len(got & plain) >= 50
+
+
+def test_ranks(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(40), rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, k int, v double").repartition(6)
+    place = {r.i: r.position for r in ranks.positions(df, [F.desc("k"), F.asc("i")]).collect()}
+    assert place == {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    sums, so_far = {r.i: r.s for r in ranks.running_sums(df, ["v"], "k", "s").collect()}, 0
+    for i, k, _ in sorted(rows, key=lambda r: r[2]):
+        so_far += k
+        assert sums[i] == so_far
+    want = {r.i: r.p for r in df.withColumn("p", F.percent_rank().over(W.orderBy("k"))).collect()}
+    assert {r.i: r.p for r in ranks.percent_ranks(df, "k", "p").collect()} == pytest.approx(want)
+    assert ranks.positions(df.limit(0), ["i"]).count() == 0 and ranks.percent_ranks(df.limit(1), "k", "p").first().p == 0
+
+
+def test_policy_columns(spark):
+    """Columns and plain functions agree."""
+    n = [0, 1, 2, 3, 4, 7, 99, 1000, 99_999, 100_000, 10**6]
+    df = spark.createDataFrame([(x, float(x) / 10 - 1) for x in n], "n long, v double")
+    cols = {"eps": columns.epsilon(F.col("n")), "impact": columns.impact(F.col("v")), "cost": columns.normal_cost(F.col("n")), "squash": columns.squash(F.least("v", F.lit(9.0))), "group": columns.group_bucket(F.col("n")), "rows": columns.rows_bucket(F.col("n")), "count": columns.count_bucket(F.col("n")), "good": columns.optimistic(F.col("v"), F.col("n"), 0.5), "hot": F.array(*columns.one_hot(F.col("n"), 3))}
+    for r in df.select("n", "v", *[c.alias(k) for k, c in cols.items()]).collect():
+        assert (r.eps, r.impact, r.cost, r.squash) == pytest.approx((policy.epsilon(r.n), policy.impact(r.v), policy.normal_cost(r.n), policy.squash(min(r.v, 9.0))))
+        assert (r.group, r.rows, r["count"], r.hot) == (policy.group_bucket(r.n), policy.rows_bucket(r.n), policy.count_bucket(r.n), policy.one_hot(r.n, 3))
+        assert r.good == pytest.approx(policy.optimistic([r.v], {0: r.n}, 0.5)[0])
+    none = df.limit(1).select(columns.impact(F.lit(None)).alias("a"), columns.optimistic(F.col("v"), F.lit(None), 1.0).alias("b"), "v").first()
+    assert none.a == 1 and none.b == none.v
+
+
 def test_k_centers(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 5))
@@ -127,8 +173,14 @@ def test_learning(spark, tmp_path):
     m = learning.fit(df, ["a", "b"])
     got = m.predict([0.5, 0.5], [0, 1, 2, 7])
     assert got[0] < got[1] < got[2] and got[1] == pytest.approx(math.expm1(4.0), rel=0.1) and got[3] == pytest.approx(got[1], rel=0.1)
-    m.save(str(tmp_path / "m.json"))
-    assert learning.LatencyModel.load(str(tmp_path / "m.json")).predict([0.5, 0.5], [0, 1, 2, 7]) == got
+    m.save(str(tmp_path / "m.json"), spark)
+    assert learning.LatencyModel.load(str(tmp_path / "m.json"), spark).predict([0.5, 0.5], [0, 1, 2, 7]) == got
+    x = np.array([[1, *r[1]] for r in rows])
+    y = (np.log1p([r[2] for r in rows]) - m.low) / (m.high - m.low)
+    base = np.linalg.solve(x.T @ x + 1e-3 * np.eye(3), x.T @ y)
+    of = np.array([r[0] for r in rows]) == 1
+    delta = np.linalg.solve(x[of].T @ x[of] + np.eye(3), x[of].T @ (y - x @ base)[of])
+    assert m.base == pytest.approx(base.tolist()) and m.deltas[1] == pytest.approx(delta.tolist())
     with pytest.raises(learning.TrainingError):
         learning.fit(df.limit(0), ["a", "b"])
 
@@ -158,7 +210,20 @@ def test_sources(spark, tmp_path, views):
     assert r.sql == "select 1\nfrom x" and r.path.endswith("a.sql")
     plans = spark.createDataFrame([('{"Plan": {"Node Type": "Seq Scan", "Relation Name": "t", "Total Cost": 5.5, "Plan Rows": 9}}',), ("no json",)], "plan string")
     assert [(p.node_type, p.cost) for p in tables.json_plans(plans).collect()] == [("Seq Scan", 5.5), (None, None)]
-    assert tables.catalog_scan(spark, ("nation",)).where("is_numeric").count() == 2 and tables.cached_relations(spark, ("nation", "pg_x")).count() == 1
+    assert tables.catalog_scan(spark, ("nation",)).where("is_numeric").count() == 2
+    spark.catalog.cacheTable("nation")
+    spark.table("nation").count()
+    held = {r.relation: r for r in tables.cached_relations(spark, ("nation", "part", "pg_x")).collect()}
+    spark.catalog.uncacheTable("nation")
+    assert set(held) == {"nation", "part"} and held["nation"].cached and held["nation"].blocks > 0 and held["nation"].bytes > 0 and not held["part"].cached and held["part"].blocks == 0
+    spark.table("customer").write.partitionBy("c_mktsegment").bucketBy(2, "c_custkey").mode("overwrite").saveAsTable("keyed_customer")
+    keys = {r.column_name: (r.is_partition, r.is_bucket, r.has_index) for r in tables.key_scan(spark, ("keyed_customer",)).collect()}
+    spark.sql("drop table keyed_customer")
+    assert keys["c_mktsegment"] == (True, False, True) and keys["c_custkey"] == (False, True, True) and keys["c_name"] == (False, False, False)
+    nested = '{"Node Type": "Sort", "Plans": [{"Node Type": "Hash", "Plan Rows": 3, "Plans": [{"Node Type": "Seq Scan", "Relation Name": "a"}]}, {"Node Type": "Seq Scan", "Relation Name": "b"}]}'
+    plans = spark.createDataFrame([(1, nested), (2, None), (3, "[]"), (4, '{"Plan": 5}'), (5, '{"Plan": %s}' % nested)], "i int, plan string")
+    rows = [tuple(r)[1:6] for r in tables.json_plan_nodes(plans, "i").where("key = '5'").orderBy("node_id").collect()]
+    assert rows == [(0, -1, 0, "Sort", None), (1, 0, 1, "Hash", None), (2, 1, 2, "Seq Scan", "a"), (3, 0, 1, "Seq Scan", "b")] and tables.json_plan_nodes(plans, "i").count() == 8
 
 
 def test_trees():
@@ -195,7 +260,53 @@ def test_session(spark, views, tmp_path):
     s.record("select broken from nowhere", 0, 1.0)
     assert s.last_error and s.status()["experience"] == 9
     with pytest.raises(ValueError):
-        SteeringConfig(num_arms=9)
+        SteeringConfig(num_arms=27)
+
+
+def test_session_rows_and_timeouts(spark, views, tmp_path):
+    s = Steering(spark, f"file://{tmp_path}/store", SteeringConfig(num_arms=26, max_query_seconds=30))
+    assert len(s.arms) == 25 and 6 not in s.arms
+    sql = "-- a comment\n" + TEMPLATES["so_q13"]
+    assert s.eligible(sql) and not s.eligible("select 1")
+    want = sorted(map(tuple, spark.sql(sql).collect()))
+    assert sorted(map(tuple, s.collect(sql, 7))) == want and sorted(map(tuple, s.save_as(sql, f"file://{tmp_path}/rows").collect())) == want
+    assert s.status()["experience"] == 2 and s._runs(s.features(sql)["template_id"]).total() == 2
+    again = Steering(spark, f"file://{tmp_path}/store")
+    assert again._runs(s.features(sql)["template_id"]) == s._runs(s.features(sql)["template_id"])
+    slow = "select count(*) n from lineitem a, lineitem b, lineitem c where a.l_tax + b.l_tax + c.l_tax > 9"
+    began = time.monotonic()
+    with pytest.raises(QueryTimeout):
+        s.run(slow, 0, timeout=2)
+    assert time.monotonic() - began < 25 and s.status()["experience"] == 2 and s.collect(sql, 0)
+    s.config.max_query_seconds, s.config.num_arms = 2, 1
+    key = s.add_test_query(slow)
+    assert s.experiment(60) == 1 and [r.reward for r in s.store.experience().where(F.col("query_id") == key).collect()] == [4000.0]
+    assert Steering(spark, f"file://{tmp_path}/store").experiments == {key: slow}
+    rows = Steering(spark, f"file://{tmp_path}/other", SteeringConfig(mode="cold_start", round_size=2)).compare([("q", TEMPLATES["so_q04"])], k=2, warm_up=1)
+    assert len(rows) == 2 and all(p == "q" and a > 0 and b > 0 for p, a, b, _ in rows)
+
+
+def test_config_and_command_line(spark, sf, tmp_path, capsys):
+    c = SteeringConfig.read("[steering]\nmode = cold_start\nnum_arms = 8\nrecord_rewards = no\nhard_ratio = 0.5\nfacts = q, a")
+    assert (c.mode, c.num_arms, c.record_rewards, c.hard_ratio, c.facts) == ("cold_start", 8, False, 0.5, ("q", "a"))
+    for bad in ("[steering]\nnothing = 1", "[other]\nmode = model", "[steering]\nmode = what", "[steering]\nmax_query_seconds = 0"):
+        with pytest.raises(ValueError):
+            SteeringConfig.read(bad)
+    (tmp_path / "c.ini").write_text("[steering]\nnum_arms = 2\n")
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql/q.sql").write_text(TEMPLATES["so_q15"])
+
+    def call(*args):
+        code = cli.main(["--store", f"file://{tmp_path}/store", "--tables", sf, "--config", str(tmp_path / "c.ini"), *args], spark)
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert call("train")[0] == 1  # nothing to learn from
+    assert call("run", "@" + str(tmp_path / "sql/q.sql"))[1] == [r.asDict() for r in spark.sql(TEMPLATES["so_q15"]).collect()]
+    assert len(call("add-test-query", TEMPLATES["so_q04"])[1][0]["query_id"]) == 32
+    assert call("experiment", "--seconds", "60") == (0, [{"ran": 2}])
+    assert len(call("replay", str(tmp_path / "sql"), "--count", "2", "--warm-up", "1")[1]) == 2
+    assert call("train")[1][0]["samples"] == 5 and call("status")[1][0]["model_samples"] == 5
+    assert call("explain", TEMPLATES["so_q04"])[1][0]["prediction_ms"] and call("retrain")[0] in (0, 1) and "nation" in call("check")[1][0]["tables"]
 
 
 def test_streaming(spark, tmp_path):
@@ -204,9 +315,10 @@ def test_streaming(spark, tmp_path):
     rows = [(f"t{i % 3}", i % 2, float(i)) for i in range(100)]
     df = spark.createDataFrame(rows, "template_id string, arm int, reward double")
     stats = RewardStats(spark, f"file://{tmp_path}/stats")
-    stats.add(df.where("reward < 40"), 0)
-    stats.add(df.where("reward >= 40"), 1)
-    stats.add(df.where("reward >= 40"), 1)  # sent again
+    assert stats.add(df.where("reward < 40"), 0) and stats.add(df.where("reward >= 40 and reward < 60"), 1)
+    assert not stats.add(df.where("reward >= 40"), 1)  # sent again
+    assert stats.add(df.where("reward >= 60 and reward < 80"), 0, "a new checkpoint") and stats.add(df.where("reward >= 80"), 2)
+    assert not stats.add(df, 0, "a new checkpoint") and len(stats._versions()) == 2
     want = {(r.template_id, r.arm): r for r in experience.welford(df, ["template_id", "arm"], "reward").collect()}
     got = {(r.template_id, r.arm): r for r in stats.current().collect()}
     assert {k: (r.n, pytest.approx(r.mean), pytest.approx(r.m2)) for k, r in want.items()} == {k: (r.n, r.mean, r.m2) for k, r in got.items()}
