@@ -8,7 +8,8 @@ are tested from the most lenient on and testing stops at the first that is not
 significant (fixed-sequence testing), at level ``delta`` divided by strata x
 rules (Bonferroni); ``risk`` itself is divided by the number of rules. So with
 probability 1 - delta, in every stratum all rules together reject at most
-``risk`` of good documents. Among certified cutoffs the one with most bad less
+``risk`` of the good documents that pass the base; what the base rejects is
+fixed beforehand and not part of the guarantee. Among certified cutoffs the one with most bad less
 ``cost`` times good rejections is used. A stratum with too few labels to
 certify anything rejects nothing beyond the base.
 

@@ -593,6 +593,16 @@ def test_chat_round_trip(spark):
             assert i % 3 != 1 or not any(c in s.text for c in CHAT.controls)
 
 
+def test_chat_long(spark):
+    """Texts of a megabyte, of control strings and of escapes, and a conversation of thousands of turns."""
+    texts = ["###" * 300_000, "\\" * 900_000, "</turn>\n" * 120_000, "plain words " * 80_000]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, "x", 1) for i, t in enumerate(texts)]
+    rows += [(2, i, "user" if i % 2 == 0 else "assistant", f"### turn {i}", "x", 1) for i in range(6000)]
+    out = {r.conv_id: r for r in chat_format(_chat(spark, rows)).select("conv_id", "valid", "n_turns", read_back(F.col("formatted")).alias("turns")).collect()}
+    assert [t.text for t in out[1].turns] == texts and out[1].valid and out[2].valid and out[2].n_turns == 6000
+    assert [t.text for t in out[2].turns] == [f"### turn {i}" for i in range(6000)]
+
+
 def test_chat_machine(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", "u"), (2, 1, "user", "v"), (2, 2, "assistant", "a"), (3, 0, "user", "u"), (4, 0, "assistant", "a"), (None, 0, "user", "n"), (None, 1, "assistant", None)]
     out = {r.conv_id: (r.valid, r.bad_turn, r.n_turns) for r in chat_format(_chat(spark, [(*r, "x", 1) for r in rows])).collect()}
