@@ -16,6 +16,7 @@ from rudderql.llm.line_dedup import line_dedup
 from rudderql.llm.mixing import mix_texts
 from rudderql.llm.packing import pack
 from rudderql.llm.quality_rules import quality_rules
+from rudderql.sources.shared import SharedFolder
 
 #: Nothing in SQL states the seeded mix and the packing; tests/llm hold run() against brute force.
 ORACLE_SQL = None
@@ -81,10 +82,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply STAGES to documents; each result is written to the shared folder, read again, and removed once the next one is there."""
+    docs, paths = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = new_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        paths.append(new_path(spark, name.replace(" ", "-")))
+        stage(spark, docs, sf_dir).write.parquet(paths[-1])
+        docs = spark.read.parquet(paths[-1])
+        for old in paths[:-1]:
+            folder, _, last = old.rpartition("/")
+            SharedFolder(spark, folder).remove(last)
     return docs

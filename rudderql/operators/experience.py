@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,17 @@ class ExperienceStore:
     def add_experiment(self, query_id: str, sql: str) -> None:
         self.spark.createDataFrame([(query_id, sql)], "query_id string, sql string").coalesce(1).write.mode("append").parquet(f"{self.path}/experiments")
 
+    def cache_sql(self, rows: DataFrame) -> None:
+        """Add texts (sequence_id, sql_text); one that is there already is replaced for readers."""
+        rows.select("sequence_id", "sql_text", F.current_timestamp().alias("created_at"), F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(f"{self.path}/sql_cache")
+
+    def cached_sql(self) -> DataFrame:
+        """sequence_id, sql_text, created_at: the text added last for each."""
+        schema = "sequence_id string, sql_text string, created_at timestamp, at long"
+        if not SharedFolder(self.spark, self.path).there("sql_cache"):
+            return self.spark.createDataFrame([], schema).drop("at")
+        return latest(self.spark.read.schema(schema).parquet(f"{self.path}/sql_cache"), ["sequence_id"], [F.desc("at"), F.desc("sql_text")]).drop("at")
+
     def arm_stats(self) -> DataFrame:
         return welford(self.experience(), ["template_id", "arm"], "reward")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import features
 from ..functions import policy_columns as policy
 from ..plans.templates import TEMPLATES
 from ..sources.shared import new_path
@@ -177,6 +178,12 @@ def diverse_kcenter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experience.k_centers(load(spark, sf_dir, "embeddings"), "embedding", "vec_id", 6).select("vec_id", "label")
 
 
+def vector_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are equal as 32-bit floats form a template."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", features.vector_sha1("embedding").alias("template_id"))
+    return rows.groupBy("template_id").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n")).drop("template_id")
+
+
 def exp_welford_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = experience.welford(_experience(spark, sf_dir), ["template_id", "arm"], "reward")
     return w.select("template_id", "arm", "n", F.round("mean", 6).alias("mean"), F.round("m2", 2).alias("m2"))
@@ -250,7 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         diverse_kcenter, exp_welford_moments, pending_experiments, learned_predictions, log_parse, regression_report, latency_percentiles, trained_before_events, stream_reward_stats, steered,
         sample_hard_tail, sample_template_cap, sample_arm_coverage, exp_counts, exp_template_seen, exp_last_by_pid, exp_balanced_batch, exp_upsert_latest, exp_run_lists,
         arm_usage, arm_rank, arm_topk_banned, regression_gate, latency_cdf, chunk_rounds, completion_curve, trained_before, reward_scale,
-        policy_epsilon, policy_gate, policy_optimism, cost_log_norm, score_squash, bucket_rows, bucket_groupcols, bucket_counts, onehot, json_plan_tree,
+        policy_epsilon, policy_gate, policy_optimism, cost_log_norm, score_squash, bucket_rows, bucket_groupcols, bucket_counts, onehot, json_plan_tree, vector_template,
     )
     return {f.__name__: f for f in named} | {"sample_budgeted": sample_budgeted_query}
 
@@ -296,4 +303,5 @@ def oracle_sql() -> dict[str, str]:
         "diverse_kcenter": _centers(6),
         "exp_run_lists": "select user_id query_id, cast(event_id % 6 as int) arm, string_agg(event_id, ',' order by event_id) runs, min(value) best from events where user_id in (select user_id from events where event_type = 'signup') group by 1, 2",
         "json_plan_tree": TREE,
+        "vector_template": "select min(vec_id) first_id, count(*) n from embeddings group by embedding",
     }

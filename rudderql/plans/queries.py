@@ -94,6 +94,11 @@ def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "node_id", "parent_id", "depth", "node_type", "relation", F.array_join("columns", ",").alias("columns"))
 
 
+def aggregate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    return catalyst.aggregate_rows(spark, catalyst.EXAMPLES)
+
+
 def adjacency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir)
     return features.adjacency(spark, {q: catalyst.EXAMPLES[q] for q in (1, 5)})
@@ -139,7 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _sql(v) for k, v in SQLS.items()}
     out |= {k: _hinted(h) for k, h in HINTS.items()}
     out |= {f"arm_{i}": _arm(i) for i in DEFAULT_ARMS}
-    out |= {f.__name__: f for f in (join_nl, scan_pushdown, stats_correlation, sql_semantics, sql_join_edges, ontology_flags, flags_rollup, plan_nodes, adjacency_edges, hint_text)}
+    out |= {f.__name__: f for f in (join_nl, scan_pushdown, stats_correlation, sql_semantics, sql_join_edges, ontology_flags, flags_rollup, aggregate_flags, plan_nodes, adjacency_edges, hint_text)}
     return out | EXAMPLE_PLANS | {"catalog_scan": catalog}
 
 
@@ -195,6 +200,7 @@ EXAMPLE_SQL = {
     "broadcast_metric": f"with t as (select query_id, relation, sum(cost) / any_value(total) m from (select *, sum(cost) over (partition by query_id) total from {PLAN_VALUES}) where relation is not null group by 1, 2) select cast(q as int) query_id, tbl || '.' || col item, coalesce(m, 0) metric from range(1, 3) r(q), (values ('orders', 'o_custkey'), ('orders', 'o_totalprice'), ('customer', 'c_name'), ('part', 'p_name')) c(tbl, col) left join t on t.query_id = q and t.relation = tbl",
     "ontology_flags": f"select query_id, table_name, column_name, true in_sql, in_where, in_join, in_group, in_sort, is_numeric from {ONTOLOGY_VALUES}",
     "flags_rollup": f"select query_id, table_name, true in_sql, bool_or(in_where) in_where, bool_or(in_join) in_join, bool_or(in_group) in_group, bool_or(in_sort) in_sort, bool_or(is_numeric) is_numeric from {ONTOLOGY_VALUES} group by 1, 2",
+    "aggregate_flags": "select * from (values (1, 'has_count_star', '*'), (3, 'has_count', 'customer.c_custkey'), (4, 'has_max', 'orders.o_totalprice'), (4, 'has_min', 'orders.o_orderdate'), (6, 'has_sum', 'orders.o_totalprice'), (8, 'has_count_star', '*')) t(query_id, flag, column_name)",
     "plan_nodes": f"select * from {PLAN_NODE_VALUES}",
     "adjacency_edges": "with c as (select query_id, table_name t, column_name c from (values (1, 'nation'), (1, 'customer'), (5, 'orders'), (5, 'lineitem')) q(query_id, tbl) join information_schema.columns on table_name = tbl) select query_id, t src, t || '.' || c dst from c union all select x.query_id, x.t || '.' || x.c, y.t || '.' || y.c from c x join c y on x.query_id = y.query_id and x.t = y.t and x.c < y.c union all select * from (values (1, 'customer.c_nationkey', 'nation.n_nationkey'), (5, 'lineitem.l_orderkey', 'orders.o_orderkey'))",
     "stats_correlation": "select column_name, round(corr(p, v), 6) correlation, round(corr(p, v), 6) > 0.9 above_09 from (select 'o_orderkey' column_name, percent_rank() over (order by o_orderkey) p, percent_rank() over (order by o_orderkey) v from orders union all select 'o_totalprice', percent_rank() over (order by o_orderkey), percent_rank() over (order by o_totalprice) from orders where o_totalprice is not null) group by column_name",

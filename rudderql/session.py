@@ -39,6 +39,7 @@ class SteeringConfig:
     template_cap: int = 100
     arm_min: int = 5
     hard_ratio: float = 0.2
+    diverse: int = 20
     max_query_seconds: float = 120.0
     least_samples: int = 20
     max_retries: int = 3
@@ -266,7 +267,7 @@ class Steering:
     def train(self, emphasis: int = 0) -> learning.LatencyModel:
         """Fit on a budgeted sample; experiments count ``emphasis`` more times."""
         c, rows = self.config, self.store.experience().where("features is not null")
-        sample = sample_budgeted(rows, c.budget, c.template_cap, c.arm_min, c.hard_ratio)
+        sample = sample_budgeted(rows, c.budget, c.template_cap, c.arm_min, c.hard_ratio, "features", c.diverse)
         for _ in range(emphasis):
             sample = sample.unionByName(rows.where(F.col("query_id").isin(list(self.experiments))))
         names = list(next(iter(self._features.values()))["numbers"]) if self._features else [str(i) for i in range(len(rows.select("features").first().features))] if not rows.isEmpty() else []

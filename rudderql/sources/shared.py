@@ -30,6 +30,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_all(spark: SparkSession) -> None:
+    """Remove all tables that this application has written here; what reads them fails from then on."""
+    root = shared_dir(spark)
+    SharedFolder(spark, root).remove(f"rudderql-{spark.sparkContext.applicationId}")
+
+
 class SharedFolder:
     """A folder of any file system that Spark can write, with names that only one writer can take."""
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -97,6 +98,18 @@ def test_roles_and_features(spark, views):
     assert features.feature_matrix(spark, {1: TEMPLATES["so_q01"]}).count() > 50 and features.adjacency(spark, {1: TEMPLATES["so_q01"]}).where("src like '%.%' and dst like '%.%'").count() > 0
 
 
+def test_sql_cache_and_vectors(spark, tmp_path):
+    store = experience.ExperienceStore(spark, f"file://{tmp_path}/store")
+    assert store.cached_sql().count() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), "sequence_id string, sql_text string")
+    store.cache_sql(rows(("a", "select 1"), ("b", "select 2")))
+    store.cache_sql(rows(("a", "select 0"), ("a", "select 0")))
+    assert {r.sequence_id: r.sql_text for r in store.cached_sql().collect()} == {"a": "select 0", "b": "select 2"} and store.cached_sql().count() == 2
+    v = spark.createDataFrame([(1, [1.0, 2.5]), (2, None), (3, [1.0, 2.5]), (4, [])], "i int, v array<float>")
+    got = {r.i: r.h for r in v.select("i", features.vector_sha1("v").alias("h")).collect()}
+    assert got[1] == got[3] == hashlib.sha1(np.array([1.0, 2.5], dtype="<f4").tobytes()).hexdigest() and got[2] is None and got[4] == hashlib.sha1(b"").hexdigest()
+
+
 def test_samplers(spark):
     rng = random.Random(1)
     rows = [(i, f"t{i % 7}", i % 6, rng.random() * 100) for i in range(900)]
