@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .ranks import positions, running_sums
 
 
-def completion_curve(log: DataFrame) -> DataFrame:
-    """at, done (queries so far), minutes since the first."""
+def completion_curve(log: DataFrame, per_minute: float = 60.0) -> DataFrame:
+    """at, done (queries so far), minutes since the first; ``per_minute``: units of ``at`` in a minute."""
     begun = F.broadcast(log.agg(F.min("at").alias("_begun")))
-    return positions(log, ["at", "path"], "done").join(begun).withColumn("minutes", (F.col("at") - F.col("_begun")) / 60).drop("_begun")
+    return positions(log, ["at", "path"], "done").join(begun).withColumn("minutes", (F.col("at") - F.col("_begun")) / F.lit(per_minute)).drop("_begun")
 
 
 def latency_cdf(log: DataFrame) -> DataFrame:

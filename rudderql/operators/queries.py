@@ -110,7 +110,8 @@ def chunk_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completion_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.completion_curve(_by_event(spark, sf_dir)).select("event_id", F.col("done").cast("int").alias("done"), F.round("minutes", 6).alias("mins"))
+    log = load(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("path"))
+    return analysis.completion_curve(log, 6e7).select("event_id", F.col("done").cast("int").alias("done"), F.round("minutes", 6).alias("mins"))
 
 
 def trained_before(spark: SparkSession, sf_dir: str) -> DataFrame:
