@@ -22,11 +22,15 @@ SMALL_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table. A small one in fewer files than cores may be one row group, hence one task; it is dealt out."""
+    """A Parquet table. A small one in fewer files than cores may be one row group, hence one task; it is written anew, a file a core.
+
+    Dealing it out within the query would not do: filters, with the patterns
+    that they search for, are moved below a repartition.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
+        return materialize(df.repartition(cores), name)
     return df
 
 
