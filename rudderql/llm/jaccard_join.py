@@ -153,13 +153,15 @@ def _onward(threshold: float, splits: int) -> float:
 
 def splits_needed(threshold: float) -> int:
     """Coordinates on which a bucket below the root is split: the fewest that lose at most a tenth, however deep."""
-    return next(s for s in range(1, T) if _onward(threshold, s) >= 0.9)
+    return next((s for s in range(1, T) if _onward(threshold, s) >= 0.9), T)
 
 
 def runs_needed(threshold: float, recall: float) -> int:
     """Runs (splits of the root) after which a pair at the threshold has been in a compared bucket with chance ``recall``."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold is above 0 and at most 1, recall between 0 and 1")
     one = threshold * _onward(threshold, splits_needed(threshold))  # it shares the token of the root's split, and goes on
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+    runs = 1 if one >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
     if runs > T - 2:
         raise ValueError(f"{T} coordinates do not reach recall {recall} at {threshold}")
     return runs

@@ -306,7 +306,10 @@ def test_jaccard_united(spark):
 
 def test_jaccard_parts():
     assert similarity("a b c d e f", "a b c d e f") == 1 and similarity("a", None) == 0 and similarity("a b", "a b") == 1
-    assert runs_needed(0.8, 0.9999) > runs_needed(0.8, 0.9) >= 1
+    assert runs_needed(0.8, 0.9999) > runs_needed(0.8, 0.9) >= 1 and runs_needed(1.0, 0.9999) == 1
+    for threshold, recall in ((0, 0.9), (1.1, 0.9), (0.8, 1.0), (0.02, 0.9999)):
+        with pytest.raises(ValueError):
+            runs_needed(threshold, recall)
 
 
 def test_sainte_lague(spark):
