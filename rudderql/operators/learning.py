@@ -70,7 +70,8 @@ def _moments(df: DataFrame, width: int, y) -> dict[int, tuple[np.ndarray, np.nda
                 sums[arm] = (old[0] + xx, old[1] + xy)
         import pandas as pd
 
-        yield pd.DataFrame({"arm": list(sums), "xx": [s[0].ravel().tolist() for s in sums.values()], "xy": [s[1].tolist() for s in sums.values()]})
+        if sums:  # an empty frame's lists have no type that Arrow could convert
+            yield pd.DataFrame({"arm": list(sums), "xx": [s[0].ravel().tolist() for s in sums.values()], "xy": [s[1].tolist() for s in sums.values()]})
 
     parts = df.select(F.col("arm").cast("int"), "features", y.alias("y")).mapInPandas(part, "arm int, xx array<double>, xy array<double>")
     long = parts.select("arm", F.posexplode(F.concat("xx", "xy")).alias("i", "v")).groupBy("arm", "i").agg(F.sum("v").alias("v"))

@@ -198,6 +198,13 @@ def test_learning(spark, tmp_path):
         learning.fit(df.limit(0), ["a", "b"])
 
 
+def test_learning_empty_partitions(spark):
+    """Small files and filters leave tasks without a row; the fit is that of the rows in one task."""
+    rows = spark.range(0, 4, 1, 1).select((F.col("id") % 2).cast("int").alias("arm"), F.array(F.col("id") / 4).alias("features"), F.exp("id").alias("reward"))
+    one, many = learning.fit(rows, ["a"]), learning.fit(rows.repartitionByRange(4, "arm").unionByName(rows.where("arm > 9").repartition(3)), ["a"])
+    assert many.samples == 4 and many.base == pytest.approx(one.base) and many.deltas == {a: pytest.approx(w) for a, w in one.deltas.items()}
+
+
 def test_regression_gate(spark):
     runs = spark.createDataFrame([("q1", 0, 100.0), ("q1", 1, 50.0), ("q2", 0, 10.0), ("q2", 1, 10.05)], "query_id string, arm int, reward double")
     pick = lambda a, b: spark.createDataFrame([("q1", a), ("q2", b)], "query_id string, arm int")
