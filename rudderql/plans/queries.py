@@ -15,6 +15,8 @@ from .templates import ALL, ARM_SQL, BOTH, FACTS
 
 SQLS = ALL | {k: spark for k, (spark, _) in BOTH.items()}
 HINTS = {"join_hash": "SHUFFLE_HASH", "join_merge": "MERGE", "join_broadcast": "BROADCAST"}
+#: The driver and each executor hold a broadcast table whole, as a hash table of two to three times its rows; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _sql(text: str) -> Callable:
@@ -28,7 +30,11 @@ def _sql(text: str) -> Callable:
 def _hinted(hint: str) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register_named(spark, sf_dir, ARM_SQL)
-        return spark.sql(with_hint(ARM_SQL, f"{hint}({', '.join(aliases(ARM_SQL, spark))})"))
+        names = aliases(ARM_SQL, spark)
+        small = catalyst.small_relations(spark, ARM_SQL, BROADCAST_BYTES) if hint == "BROADCAST" else names
+        # Without a hint Spark would go by the size of the files.
+        hints = (hint, small), ("MERGE", [a for a in names if a not in small])
+        return spark.sql(with_hint(ARM_SQL, ", ".join(f"{h}({', '.join(of)})" for h, of in hints if of)))
 
     return run
 

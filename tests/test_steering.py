@@ -14,10 +14,13 @@ from rudderql.functions import features, policy
 from rudderql.functions import policy_columns as columns
 from rudderql.operators import analysis, experience, learning, ranks, regression, trees
 from rudderql.plans import arms, catalyst
+from rudderql.plans.queries import queries
 from rudderql.plans.templates import ARM_SQL, FACTS, TEMPLATES
 from rudderql.session import QueryTimeout, Steering, SteeringConfig
 from rudderql.sources import tables
 
+from .compare import connect, differences
+
 
 @pytest.fixture(scope="module")
 def views(spark, sf):
@@ -77,6 +80,24 @@ def test_arms_agree(spark, views):
         assert sorted(map(tuple, spark.sql(sql).collect())) == want
 
 
+def test_broadcast_is_bounded(spark, sf, tmp_path):
+    """join_broadcast broadcasts what is small, but no table that would fill the driver, however small its file is."""
+    for t in ("customer", "orders", "part"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    orders, parts = spark.read.parquet(f"{sf}/orders.parquet").count(), spark.read.parquet(f"{sf}/part.parquet").count()
+    spark.range(2_000_000).select((F.col("id") % orders).alias("l_orderkey"), (F.col("id") % parts).alias("l_partkey")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert differences(spark, connect(tmp_path), str(tmp_path), queries()["join_broadcast"], ARM_SQL) is None
+    joins = lambda d: str(queries()["join_broadcast"](spark, d)._jdf.queryExecution().sparkPlan())
+    assert joins(sf).count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in joins(sf)
+    plan = joins(str(tmp_path))
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin [o_orderkey") == 1
+    tables.register(spark, str(tmp_path), ("customer", "orders", "lineitem", "part"))
+    rows = spark.table("customer").agg(F.sum(24 + F.octet_length("c_mktsegment"))).first()[0], orders * 24, 2_000_000 * 24, spark.table("part").where("p_brand = 'Brand#2'").count() * 16
+    for limit in rows:
+        assert catalyst.small_relations(spark, ARM_SQL, limit) == [a for a, n in zip("uqat", rows, strict=True) if n <= limit]
+    tables.register(spark, sf)
+
+
 def test_pushdown(spark, views):
     text = spark.table("lineitem").where("l_quantity > 45 and l_returnflag in ('R')").select("l_orderkey")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters" in text and "GreaterThan(l_quantity,45.0)" in text and "l_comment" not in text.split("ReadSchema")[1]
